@@ -63,8 +63,8 @@ class MeanMode:
 
     name = "Mean/Mode"
 
-    def __init__(self, columns: Sequence[str] | None = None, fallback: str = NO_CATEGORY) -> None:
-        self.columns = columns
+    def __init__(self, keys: Sequence[str] = (), fallback: str = NO_CATEGORY) -> None:
+        self.keys = keys
         self.fallback = fallback
 
     def _centres(self, df: DataFrame, columns: list[str]) -> dict[str, object]:
@@ -72,7 +72,7 @@ class MeanMode:
         return {c: row[f"m{i}"] for i, c in enumerate(columns)}
 
     def fit(self, df: DataFrame) -> FillModel:
-        columns = [c for c in df.columns if self.columns is None or c in self.columns]
+        columns = [c for c in df.columns if c not in self.keys]
         numeric = [c for c in columns if c in numeric_columns(df)]
         fills = self._centres(df, numeric) if numeric else {}
         fills.update(modes(df, [c for c in columns if c not in numeric], self.fallback))
