@@ -37,8 +37,9 @@ def first_number(text: Column) -> Column:
 def fenced_content(text: Column, pattern: str = FENCED_TEXT) -> Column:
     """Longest fenced block (the first of equals), or the whole text."""
     blocks = F.regexp_extract_all(text, F.lit(pattern), 1)
-    sized = F.transform(blocks, lambda b, i: F.struct(-F.length(b), i, b))
-    longest = F.get(F.array_sort(sized), 0)["b"]
+    sized = F.transform(blocks, lambda b, i: F.struct(
+        (-F.length(b)).alias("size"), i.alias("place"), b.alias("block")))
+    longest = F.get(F.array_sort(sized), 0)["block"]
     return _strip(F.coalesce(longest, text))
 
 

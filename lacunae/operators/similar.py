@@ -167,6 +167,24 @@ class _Cells:
         return np.nonzero(keep)
 
 
+def _few_copies(
+    observed: DataFrame, keys: Sequence[str], features: Sequence[str], keep: int
+) -> DataFrame:
+    """Of rows with the same features, only the first `keep` by key can ever be chosen.
+
+    Their similarity to any query is the same and ties go to the smaller key. The
+    step is taken when at least half of the rows are such copies.
+    """
+    row = observed.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct(F.xxhash64(*features)).alias("kinds")).first()
+    if row["kinds"] * 2 > row["n"]:
+        return observed
+    copies = Window.partitionBy(*features).orderBy(*keys)
+    return (observed.withColumn("_copy", F.row_number().over(copies))
+            .where(F.col("_copy") <= keep).drop("_copy"))
+
+
 def top_similar(
     queries: DataFrame,
     reference: DataFrame,
@@ -198,6 +216,7 @@ def top_similar(
         return queries.sparkSession.createDataFrame(
             [], T.StructType([*schema.fields, T.StructField("example_rank", T.IntegerType())]))
 
+    observed = _few_copies(observed, keys, features, k + 1)
     limit = min(MAX_CELLS, max(1, observed.count() // cell_rows))
     code = _cell_codes(observed, numeric, text, limit)
     celled = observed.withColumn("_cell", code)

@@ -143,8 +143,8 @@ def fill_matrix(
         halves = cut_lineage(halves.select("row_start", "row_end"))
         if halves.isEmpty():
             break
-        inside = ((rows["position"] >= halves["row_start"])
-                  & (rows["position"] < halves["row_end"]))
+        inside = ((F.col("position") >= F.col("row_start"))
+                  & (F.col("position") < F.col("row_end")))
         # Blocks are numbered by their start, so the range join is an equi-join on the old block.
         old = F.floor(F.col("position") / batch_row).cast("long")
         active = rows.withColumn("_old", old).join(
