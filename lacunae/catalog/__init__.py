@@ -1,8 +1,8 @@
 """Queries over the given tables, and the same results in SQL."""
 
-from . import answers, holes, imputers, prompts, tables
+from . import answers, folds, holes, imputers, prompts, scores, tables, telemetry
 
-PARTS = (tables, holes, imputers, prompts, answers)
+PARTS = (tables, holes, imputers, prompts, answers, folds, scores, telemetry)
 
 
 def all_queries() -> dict:

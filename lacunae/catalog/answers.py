@@ -103,7 +103,8 @@ _CELLS = ["o_orderkey", "o_custkey", "o_orderstatus"]
 
 def f3_parse_matrix(spark, sf):
     parsed = matrix.parse_matrix_responses(_tables(spark, sf), 3)
-    return parsed.select("batch_id", F.size("parsed.body").alias("n_parsed"), "parse_error",
+    return parsed.select("batch_id", F.size("parsed.body").alias("n_parsed"),
+                         F.col("parsed.error").alias("parse_error"),
                          F.array_join("parsed.header", ",").alias("header"))
 
 
@@ -221,8 +222,9 @@ def _complete_table(prompts: list) -> list:
             _, nation, balance, segment = r.split()
             body.append(",".join([nation, str(int(nation) * 100) if balance == "NaN" else balance,
                                   segment]))
-        # Long tables are cut short, as a model does that runs out of tokens.
-        out.append("\n".join([",".join(head.split()), *body][:31]))
+        # Too many rows at once: no table, so the block has to be halved.
+        table = "\n".join([",".join(head.split()), *body])
+        out.append(table if len(rows) <= 30 else "The table is too long.")
     return out
 
 
@@ -373,6 +375,10 @@ SQL = {
   SELECT c_custkey, position AS prompt_row_position, 1 AS fold_id,
     (c_nationkey * 100)::DOUBLE AS prediction, truth AS ground_truth, 'paper_prompt' AS source
   FROM p WHERE c_acctbal IS NULL""",
+    "f11_impute_by_matrix_folds": f"""WITH {_OPEN}
+  SELECT c_custkey, ntile(2) OVER (ORDER BY c_custkey)::INTEGER AS fold_id,
+    (c_nationkey * 100)::DOUBLE AS prediction, 'paper_prompt_fold' AS source
+  FROM holed WHERE c_acctbal IS NULL""",
     "h11_evaluate_answers": f"WITH {_ECHO} SELECT * FROM told",
     "h11_evaluate_answers_fewshot": f"""WITH {_ECHO}, m AS (SELECT count(*) AS n,
     sqrt(avg((ground_truth - prediction) ** 2)) AS r, stddev_pop(ground_truth) AS d,
