@@ -94,14 +94,16 @@ def evidence_ridge(
 class Mice:
     """Fill every column from all others, column by column, until the values settle."""
 
+    name = "MICE"
+
     def __init__(
         self, keys: Sequence[str] = (), seed: int = 42, max_iter: int = 10,
         sample_posterior: bool = False, n_imputations: int = 1,
     ) -> None:
         self.keys, self.seed, self.max_iter = list(keys), seed, max_iter
         self.sample_posterior, self.n_imputations = sample_posterior, n_imputations
-        several = sample_posterior and n_imputations > 1
-        self.name = f"MICE posterior mean (m={n_imputations})" if several else "MICE"
+        if sample_posterior and n_imputations > 1:
+            self.name = f"MICE posterior mean (m={n_imputations})"
 
     def fit(self, df: DataFrame) -> MiceModel:
         plan = layout(df, self.keys)

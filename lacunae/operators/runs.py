@@ -77,8 +77,9 @@ def resume(
     manifest: DataFrame, results: DataFrame, by: Sequence[str] = ("run_id",)
 ) -> DataFrame:
     """Manifest rows without a successful result."""
-    done = results.where(F.col("status") == "success").select(*by).dropna().distinct()
-    match = [manifest[c].cast("string") == done[c].cast("string") for c in by]
+    done = results.where(F.col("status") == "success").select(*[
+        F.col(c).cast("string").alias(f"_done_{c}") for c in by]).dropna().distinct()
+    match = [F.col(c).cast("string") == F.col(f"_done_{c}") for c in by]
     return manifest.join(done, match, "left_anti")
 
 
@@ -260,8 +261,8 @@ def check_completeness(
     expected: DataFrame, runs: DataFrame, key: Sequence[str]
 ) -> DataFrame:
     """Expected combinations without a run."""
-    have = runs.select(*key).distinct()
-    match = [expected[c].eqNullSafe(have[c]) for c in key]
+    have = runs.select(*[F.col(c).alias(f"_have_{c}") for c in key]).distinct()
+    match = [F.col(c).eqNullSafe(F.col(f"_have_{c}")) for c in key]
     return expected.join(have, match, "left_anti")
 
 
