@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 ORDER_KEYS = ["o_orderkey"]
 CUSTOMER_KEYS = ["c_custkey"]
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; one that is a single split is spread over the cores by its first column."""
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(table, table.columns[0])
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:

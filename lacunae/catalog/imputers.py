@@ -34,11 +34,11 @@ def _orders_result(df):
 
 
 def slice_mcar_meanmode_nrmse(spark, sf):
-    full = orders(spark, sf).select("o_orderkey", "o_totalprice")
-    holed = inject.mcar_column(full, 0.1, "o_totalprice", ORDER_KEYS)
-    filled = MeanMode(ORDER_KEYS).fit_transform(holed)
-    pair = evaluate.side_by_side(full, holed, filled, ORDER_KEYS, ["o_totalprice"])
-    return evaluate.evaluate_target(pair, "o_totalprice").select(
+    target = ["o_totalprice"]
+    full = evaluate.with_truth(orders(spark, sf).select(*ORDER_KEYS, *target), target)
+    holed = evaluate.with_holes(inject.mcar_column(full, 0.1, target[0], ORDER_KEYS), target)
+    filled = MeanMode([*ORDER_KEYS, *evaluate.carried(target)]).fit_transform(holed)
+    return evaluate.evaluate_target(evaluate.as_filled(filled, target), target[0]).select(
         F.round("mean_rmse", 4).alias("mean_rmse"), F.round("mean_nrmse", 8).alias("mean_nrmse"),
         "n_masked_target", "n_unfilled")
 
@@ -124,16 +124,16 @@ def d9_domain_fallback(spark, sf):
 
 
 def d10_imputers_by_key(spark, sf):
+    target = ["l_charge"]
     full = lines(spark, sf).drop("l_returnflag", "l_linestatus")
-    holed = inject.mcar_column(full, 0.1, "l_charge", LINE_KEYS)
+    holed = evaluate.with_holes(inject.mcar_column(
+        evaluate.with_truth(full, target), 0.1, "l_charge", LINE_KEYS), target)
     parts = []
     for key in ("meanmode", "medianmode", "mice", "dae"):
-        filled = build_imputer(key, 42, LINE_KEYS).fit_transform(holed)
-        # Truth, holes and fills of the same rows: the truth is computed next to the fill.
-        truth = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-        hole = filled.where(F.round(F.col("l_charge"), 6) != F.round(truth, 6))
-        parts.append(hole.agg(F.sqrt(F.avg(F.pow(F.col("l_charge") - truth, 2))).alias("rmse"))
-                     .select(F.lit(key).alias("method_key"), "rmse"))
+        imputer = build_imputer(key, 42, [*LINE_KEYS, *evaluate.carried(target)])
+        score = evaluate.evaluate_target(
+            evaluate.as_filled(imputer.fit_transform(holed), target), "l_charge")
+        parts.append(score.select(F.lit(key).alias("method_key"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_unit, row_unit
 from ..operators import evaluate, inject, reports, runs
 from ..plans.benchmark import run_matrix
+from ..session import spread
 from .fixtures import ORDER_KEYS, orders, sql_slice, sql_unit
 
 _DATASETS = {"F": ("orders_f", "Orders F"), "O": ("orders_o", "Orders O"),
@@ -58,7 +59,7 @@ def _detail(spark, sf):
                  F.lit(s).alias("seed"), F.lit(float(z)).alias("size"))
         for f, k, n, m, s, z in _METHODS])
     model = F.col("method_family") != "classical"
-    wide = holes.select("*", F.inline(methods)).where(
+    wide = spread(holes, "o_orderkey").select("*", F.inline(methods)).where(
         ~model | ((F.col("rate_pct") == 10) & (F.col("scenario_family") != "MCAR_GLOBAL")))
     digits = F.md5(F.concat_ws(
         ":", F.col("o_orderkey").cast("string"), "scenario_family", F.col("rate_pct").cast("string"),
@@ -90,10 +91,9 @@ def _runs(spark, sf):
         F.when(model, F.concat(F.lit("model/"), "model_key")).alias("model_name"),
         F.when(F.substring(F.md5(run_id), 1, 1) == "0", F.lit("error"))
         .otherwise(F.lit("success")).alias("status"),
-        F.col("n_valid").alias("n_masked_target"), F.round("mean_rmse", 6).alias("mean_rmse"),
-        F.round("mean_nrmse", 8).alias("mean_nrmse"),
+        F.col("n_valid").alias("n_masked_target"), "mean_rmse", "mean_nrmse",
         (F.col("n_valid") / 1000).alias("runtime_seconds"),
-        F.when(model, F.round("fallback_rate", 8)).alias("fallback_rate"))
+        F.when(model, F.col("fallback_rate")).alias("fallback_rate"))
 
 
 def _all_good(spark, sf):
@@ -158,7 +158,7 @@ def i5_status_counts(spark, sf):
 
 def i6_aggregate_runs(spark, sf):
     out = runs.aggregate_runs(_runs(spark, sf))
-    return out.withColumns({c: F.round(c, 7 if c.endswith("_mean") else 4) for c in out.columns
+    return out.withColumns({c: F.round(c, 5) for c in out.columns
                             if c.endswith("_mean") or c.endswith("_std")})
 
 
@@ -191,7 +191,9 @@ def i8_unify_sources(spark, sf):
         [(canonical, True), (legacy, False), (legacy.withColumn("mean_rmse", F.lit(-2.0)), False)],
         table.where(F.col("method_family") == "llm_finetuned"),
         _prompt_repeats(spark, sf))
-    return out.select("run_id", "method_family", "source_type", "mean_rmse", "fallback_rate")
+    return out.select("run_id", "method_family", "source_type",
+                      F.round("mean_rmse", 5).alias("mean_rmse"),
+                      F.round("fallback_rate", 9).alias("fallback_rate"))
 
 
 def _files(spark, sf):
@@ -390,10 +392,9 @@ _RUN_SQL = f"""scen AS (SELECT * FROM {_values(_SCENARIOS)} v(scenario_family, r
     lower(split_part(scenario_family, '_', 2)) AS mcar_scope,
     CASE WHEN method_family <> 'classical' THEN 'model/' || model_key END AS model_name,
     CASE WHEN substr(md5(run_id), 1, 1) = '0' THEN 'error' ELSE 'success' END AS status,
-    n_masked_target, round(rmse, 6) AS mean_rmse,
-    round(rmse / (sd + 1e-8::DOUBLE), 8) AS mean_nrmse,
+    n_masked_target, rmse AS mean_rmse, rmse / (sd + 1e-8::DOUBLE) AS mean_nrmse,
     n_masked_target / 1000::DOUBLE AS runtime_seconds,
-    CASE WHEN method_family <> 'classical' THEN round(fr, 8) END AS fallback_rate FROM named)"""
+    CASE WHEN method_family <> 'classical' THEN fr END AS fallback_rate FROM named)"""
 _W = f"WITH {_RUN_SQL}"
 _REPEATS = f"""{_RUN_SQL},
   repeats AS (SELECT run_id || '::' || i::VARCHAR AS run_id, t AS run_timestamp_utc, i,
@@ -459,7 +460,7 @@ _LOCATION = " ".join(
     for status, key in (("F", "telco"), ("O", "statlog"), ("P", "creditcard"))
     for i, family in enumerate(_FAMILIES))
 _AGGREGATES = ", ".join(
-    f"round(avg({c}), 7) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 4) AS {c}_std"
+    f"round(avg({c}), 5) AS {c}_mean, round(coalesce(stddev_samp({c}), 0), 5) AS {c}_std"
     for c in runs.AGGREGATED)
 _GROUP = ", ".join(runs.AGGREGATE_BY)
 
@@ -494,14 +495,16 @@ SQL = {
   model_key FROM repeats WHERE status = 'success' QUALIFY row_number() OVER (PARTITION BY
     dataset_name, target_column, missingness_type, method_key, model_name
     ORDER BY i <> 2 DESC, i DESC) = 1""",
-    "i8_unify_sources": f"""WITH {_REPEATS}
+    "i8_unify_sources": f"""WITH {_REPEATS}, united AS (
   SELECT run_id, method_family, CASE WHEN method_key <> 'dae' THEN 'classical_manifest_runner_csv'
       ELSE 'classical_run_csv' END AS source_type,
     CASE WHEN method_key <> 'dae' THEN mean_rmse ELSE -2.0::DOUBLE END AS mean_rmse, fallback_rate
   FROM runs WHERE method_family = 'classical' AND (method_key <> 'dae' OR seed = 42)
   UNION ALL SELECT run_id, method_family, NULL, mean_rmse, fallback_rate FROM runs
   WHERE method_family = 'llm_finetuned'
-  UNION ALL SELECT run_id, 'llm_prompt', NULL, mean_rmse, fallback_rate FROM repeats""",
+  UNION ALL SELECT run_id, 'llm_prompt', NULL, mean_rmse, fallback_rate FROM repeats)
+  SELECT run_id, method_family, source_type, round(mean_rmse, 5) AS mean_rmse,
+    round(fallback_rate, 9) AS fallback_rate FROM united""",
     "i9_parse_setting_name": f"""WITH {_FILES} SELECT o_orderkey, stem,
   split_part(d, '_', 1) AS dataset_token, m AS model_token, s AS scenario_token FROM files""",
     "i10_latest_eval": f"""WITH {_FILES} SELECT o_orderkey, '/results/' || stem || '.csv' AS file,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..session import spread
 
 # Which part of an answer counts as its number.
 FIRST_NUMBER = r"[-+]?\d*\.?\d+"
@@ -125,7 +126,7 @@ def score_with_model(
 
     # The request goes in as JSON, which is the same for chat messages and plain text.
     text = F.to_json(F.col(prompt)) if prompt == "messages" else F.col(prompt)
-    return df.withColumn(answer, ask(text))
+    return spread(df).withColumn(answer, ask(text))
 
 
 def summarise_notes(notes: Column, shown: int = 5) -> Column:

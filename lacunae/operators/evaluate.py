@@ -29,6 +29,28 @@ def side_by_side(
             .join(tagged(filled, FILLED), list(keys)))
 
 
+def with_truth(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Complete table that also carries truth__c through everything that follows.
+
+    With `with_holes` after the injection and `as_filled` after the imputation the
+    three values stand side by side without a join; name the carried columns as
+    keys of the imputer (`carried`), so that it does not look at them.
+    """
+    return df.withColumns({TRUTH + c: F.col(c) for c in columns})
+
+
+def with_holes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({HOLED + c: F.col(c) for c in columns})
+
+
+def as_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: FILLED + c for c in columns})
+
+
+def carried(columns: Sequence[str]) -> list[str]:
+    return [tag + c for tag in (TRUTH, HOLED) for c in columns]
+
+
 def _cell(c: str) -> tuple[Column, Column, Column]:
     return number(TRUTH + c), number(HOLED + c), number(FILLED + c)
 
