@@ -18,14 +18,27 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.createDataFrame(indexed, "value string, code double")
 
 
-def category_list(df: DataFrame, column: str, limit: int = MAP_LIMIT) -> list[str]:
-    """Sorted categories, for models that need them as literals."""
-    rows = (df.select(F.col(column).alias("value")).where(F.col(column).isNotNull())
-            .distinct().orderBy("value").limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(
-            f"'{column}' has more than {limit} categories; drop it or encode it by join.")
-    return [r["value"] for r in rows]
+def category_lists(
+    df: DataFrame, columns: Sequence[str], limit: int = MAP_LIMIT
+) -> dict[str, list[str]]:
+    """Sorted categories per column, for models that need them as literals; one pass."""
+    if not columns:
+        return {}
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)])
+    values = df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct()
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for row in values.limit(limit * len(columns) + 1).collect():
+        found[columns[row["c"]]].append(row["v"])
+    for c, labels in found.items():
+        if len(labels) > limit:
+            raise ValueError(f"'{c}' has more than {limit} categories; encode it by join.")
+    # UTF-8 order, the order in which Spark and SQL sort text.
+    return {c: sorted(labels, key=lambda v: v.encode()) for c, labels in found.items()}
+
+
+def category_list(df: DataFrame, column: str) -> list[str]:
+    return category_lists(df, [column])[column]
 
 
 def encode(column: str, categories: Sequence[str]) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread
-from .encode import category_list
 from .modelling import Layout, filled_output, hole, layout
 from .simple import NO_CATEGORY, modes
 
@@ -78,7 +77,7 @@ class MissForest:
                 and df.schema[c].dataType.typeName() == "string"]
         fills = modes(df, text, self.fallback)
         for c in text:
-            labels = set(plan.categories.get(c) or category_list(df, c))
+            labels = set(plan.categories.get(c, ()))
             plan.categories[c] = sorted(labels | {fills[c]})
             plan.observed.setdefault(c, 0)
         fills.update({c: plan.mean[c] for c in plan.numeric})

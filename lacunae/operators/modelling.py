@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .encode import category_list, decode, encode
+from .encode import category_lists, decode, encode
 from .order import number
 from .profile import numeric_columns
 
@@ -49,7 +49,7 @@ def layout(df: DataFrame, keys: Sequence[str]) -> Layout:
     keys = list(keys)
     numeric = [c for c in df.columns if c not in keys and c in numeric_columns(df)]
     text = [c for c in df.columns if c not in keys and c not in numeric]
-    categories = {c: v for c in text if (v := category_list(df, c))}
+    categories = {c: v for c, v in category_lists(df, text).items() if v}
     plan = Layout(keys, numeric, categories, 0, {}, {}, 0.0)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(plan.columns):

@@ -30,7 +30,7 @@ BROADCAST_ROWS = 100_000
 def number(col: Column | str) -> Column:
     """Column as double, with NaN as null."""
     c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 @dataclass(frozen=True)
@@ -111,31 +111,35 @@ def pick_ranks(
 
 
 def _count_cells(df: DataFrame, ranges: list[_Range], buckets: int | None):
-    """Per range: sorted (low, high, count) of its buckets, or of its values."""
+    """Per range: sorted (low, high, count) of its buckets, or of its values.
+
+    Rows outside a range become one null group instead of being filtered: a filter
+    would be pushed down and compute a costly key once more.
+    """
+    columns = list(dict.fromkeys(r.column for r in ranges))
+    values = df.select(*[number(c).alias(c) for c in columns])
     entries = []
     for i, r in enumerate(ranges):
-        v = number(r.column)
-        if buckets is None:
-            cell = F.lit(0).cast("int")
-            group_value = v
-        else:
+        v = F.col(r.column)
+        cell = F.lit(0)
+        if buckets is not None:
             share = (v - F.lit(r.low)) / F.lit(r.high - r.low)
-            cell = F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")
-            group_value = v
+            cell = F.least(F.floor(share * buckets), F.lit(buckets - 1))
         inside = v.between(F.lit(r.low), F.lit(r.high))
         entries.append(F.when(inside, F.struct(
-            F.lit(i).alias("r"), cell.alias("cell"), group_value.alias("v"))))
+            F.lit(i).alias("r"), cell.cast("int").alias("cell"), v.alias("v"))))
     if len(entries) == 1:
-        cells = df.select(entries[0].alias("e")).where(F.col("e").isNotNull())
+        cells = values.select(entries[0].alias("e"))
     else:
-        cells = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        cells = values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
     cells = cells.select("e.r", "e.cell", "e.v")
     group = ["r", "v"] if buckets is None else ["r", "cell"]
     counted = cells.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
     out: list[list[tuple[float, float, int]]] = [[] for _ in ranges]
     for row in counted.collect():
-        out[row["r"]].append((row["low"], row["high"], row["n"]))
+        if row["r"] is not None:
+            out[row["r"]].append((row["low"], row["high"], row["n"]))
     return [sorted(cells) for cells in out]
 
 
@@ -273,14 +277,16 @@ def running_totals(
     amounts: Mapping[str, Column],
     bucket_rows: int = BUCKET_ROWS,
     how: str = "sum",
+    n: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums (or maxima) per group in the order of `by`, one column per amount.
 
     A group may hold any share of the rows: it is cut into ordered buckets, and
-    what the earlier buckets add is joined to each bucket.
+    what the earlier buckets add is joined to each bucket. `n` is the number of
+    rows, when the caller knows it.
     """
     fold, join_up = _FOLDS[how]
-    n = df.count()
+    n = df.count() if n is None else n
     names = list(amounts)
     work = df.select("*", *[amounts[a].alias(f"_amount_{a}") for a in names])
     work = order_buckets(work, by, n, bucket_rows)
@@ -311,21 +317,23 @@ _FOLDS = {
 
 def average_ranks(
     df: DataFrame, column: str, bucket_rows: int = BUCKET_ROWS
-) -> tuple[DataFrame, int]:
-    """Distinct values with their mid-rank among all rows, and how many there are.
+) -> tuple[DataFrame, int, int]:
+    """Distinct values with their mid-rank among all rows; how many values and rows there are.
 
     Equal rows are counted before anything is ordered, so a hot value costs one row.
     """
-    value = number(column)
-    counts = (df.select(value.alias("rank_value")).where(F.col("rank_value").isNotNull())
+    values = df.select(number(column).alias("rank_value"))
+    counts = (values.where(F.col("rank_value").isNotNull())
               .groupBy("rank_value").agg(F.count(F.lit(1)).alias("rank_count")))
-    distinct = counts.count()
-    if distinct > bucket_rows:
+    # About that many values: a long list is stored once and not counted again.
+    if values.agg(F.approx_count_distinct("rank_value")).first()[0] > bucket_rows // 2:
         counts = cut_lineage(counts)
+    size = counts.agg(F.count(F.lit(1)).alias("n"), F.sum("rank_count").alias("rows")).first()
     ranked = running_totals(
-        counts, [], ["rank_value"], {"_upto": F.col("rank_count")}, bucket_rows)
+        counts, [], ["rank_value"], {"_upto": F.col("rank_count")}, bucket_rows, n=size["n"])
     rank = F.col("_upto") - F.col("rank_count") + (F.col("rank_count") + 1) / F.lit(2.0)
-    return ranked.select("rank_value", "rank_count", rank.cast("double").alias("rank")), distinct
+    ranked = ranked.select("rank_value", "rank_count", rank.cast("double").alias("rank"))
+    return ranked, size["n"], size["rows"] or 0
 
 
 def with_average_rank(
@@ -336,13 +344,12 @@ def with_average_rank(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Mid-rank of each row's value among the non-null values; null stays null."""
-    ranks, distinct = average_ranks(df, column, bucket_rows)
+    ranks, distinct, total = average_ranks(df, column, bucket_rows)
     staged = df.withColumn("_v", number(column))
     plain = ranks.select(F.col("rank_value").alias("_v"), F.col("rank").alias(name))
     if distinct <= broadcast_rows:
         return staged.join(F.broadcast(plain), "_v", "left").drop("_v")
     # A value with more than 1/1000 of the rows is hot: at most 1000 of them, broadcast.
-    total = ranks.agg(F.sum("rank_count")).first()[0]
     hot = ranks.where(F.col("rank_count") > F.lit(total / 1000)).select(
         F.col("rank_value").alias("_v"), F.col("rank").alias("_hot_rank"))
     marked = staged.join(F.broadcast(hot), "_v", "left")
