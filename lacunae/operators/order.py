@@ -165,6 +165,8 @@ def exact_quantiles(
     A column of at most `small` values fits in one aggregation buffer and uses
     the built-in percentile; a larger one is narrowed down by histograms.
     """
+    if not columns:
+        return {}
     ranges = column_ranges(df, columns)
     out: dict[str, list[float] | None] = {c: None for c in columns}
     direct = [c for c in columns if 0 < ranges[c][0] <= small]

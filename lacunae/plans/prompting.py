@@ -165,7 +165,8 @@ def impute_by_matrix(
     show the truth, and the prompt keeps the rows nearest to the open ones.
     """
     keys, columns = list(keys), list(columns)
-    placed = with_position(holed.select(*keys, *columns), keys, "position")
+    shown_columns = list(dict.fromkeys([*keys, *columns]))
+    placed = with_position(holed.select(*shown_columns), keys, "position")
     if n_rows is not None:
         placed = placed.where(F.col("position") < n_rows)
     placed = cut_lineage(placed)
@@ -192,7 +193,7 @@ def impute_by_matrix(
                 "required": F.coalesce(F.col("fold_id") == fold, F.lit(False))})
             compact = folds.compact_context(fold_rows, target, "required", fold_prompt_rows)
             compact = cut_lineage(compact.select(
-                *keys, *columns, "required", F.col("context_position").alias("position")))
+                *shown_columns, "required", F.col("context_position").alias("position")))
             told = fill_matrix(compact, **settings)
             parts.append(told.where("required").select(
                 *keys, "position", F.lit(fold).alias("fold_id"), "answer__target"))
