@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..session import spread
 
 # Which part of an answer counts as its number.
 FIRST_NUMBER = r"[-+]?\d*\.?\d+"
@@ -113,20 +112,23 @@ def join_answers(
 
 def score_with_model(
     df: DataFrame, scorer: Callable[[list], list], prompt: str = "messages",
-    answer: str = "answer",
+    answer: str = "answer", partitions: int | None = None,
 ) -> DataFrame:
     """Ask a model for every row, in Arrow batches.
 
     `scorer` takes a list of prompts and returns as many texts; it is built by the
-    caller and loads its model inside the Python worker.
+    caller and loads its model inside the Python worker. A few megabytes of prompts
+    can be hours of work: `partitions` spreads them before they are asked.
     """
+    asked = df if partitions is None else df.repartition(partitions)
+
     @F.pandas_udf("string")
     def ask(batch: pd.Series) -> pd.Series:
         return pd.Series(scorer(batch.tolist()), index=batch.index, dtype="object")
 
     # The request goes in as JSON, which is the same for chat messages and plain text.
     text = F.to_json(F.col(prompt)) if prompt == "messages" else F.col(prompt)
-    return spread(df).withColumn(answer, ask(text))
+    return asked.withColumn(answer, ask(text))
 
 
 def summarise_notes(notes: Column, shown: int = 5) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import salted_join
+
 MAP_LIMIT = 2_000
 
 
@@ -54,8 +56,8 @@ def decode(code: Column, categories: Sequence[str]) -> Column:
 
 
 def encode_by_join(df: DataFrame, column: str, codes: DataFrame, name: str) -> DataFrame:
-    """As `encode` for any number of categories; the planner picks the join."""
+    """As `encode` for any number of categories, hot ones included."""
     table = codes.select(F.col("value").alias(column), F.col("code").alias("_code"))
-    joined = df.join(table, column, "left")
+    joined = salted_join(df, table, [column], "left")
     code = F.when(F.col(column).isNotNull(), F.coalesce(F.col("_code"), F.lit(-1.0)))
     return joined.select(*df.columns, code.alias(name))

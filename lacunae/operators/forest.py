@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from .modelling import Layout, filled_output, hole, layout
 from .simple import NO_CATEGORY, modes
 
@@ -109,7 +109,7 @@ class ForestModel:
             start[hole(c)] = F.col(c).isNull()
             start[NOW + c] = F.coalesce(plan.value(c), F.lit(float(first)))
         # Every iteration reads the table many times: prepare it once.
-        state = cut_lineage(spread(df.withColumns(start), *plan.keys))
+        state = cut_lineage(df.withColumns(start), *(plan.keys or plan.columns))
         masks = {c: hole(c) for c in self.order}
         numeric = {c: m for c, m in masks.items() if c in plan.numeric}
         text = {c: m for c, m in masks.items() if c in plan.categories}

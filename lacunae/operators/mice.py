@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_normal
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from .gram import Gram, grams
 from .modelling import Layout, filled_output, hole, layout
 
@@ -140,7 +140,7 @@ class Mice:
         # With one holed column its predictors never change: the last sweep equals the first.
         single = len(holed) == 1
         if not single:
-            state = cut_lineage(spread(state, *plan.keys))
+            state = cut_lineage(state, *(plan.keys or plan.columns))
         for sweep in range(self.max_iter):
             if single:
                 sweep = self.max_iter - 1

@@ -360,3 +360,18 @@ def with_average_rank(
     rest = marked.where(~ready).join(plain, "_v")
     columns = [*df.columns, name]
     return easy.select(*columns).unionByName(rest.select(*columns))
+
+
+def salted_join(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32
+) -> DataFrame:
+    """Join many rows to a table with one row per key, however often a key occurs in the rows.
+
+    The table is repeated once per salt, so the rows of a hot key end up in `salts`
+    tasks instead of one.
+    """
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    left = rows.withColumn("_salt", salt)
+    right = table.withColumn("_salt", copies)
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from .evaluate import answer_metrics
-from .order import number
+from .order import number, salted_join
 
 # What file-name tokens stand for, the settings of the shipped data
 # sets, and the order in which result tables are sorted.
@@ -188,7 +188,7 @@ def parse_setting_name(path: Column) -> Column:
 def latest_eval(detail: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """Rows of the latest run (greatest timestamp text) per file with two numbers."""
     latest = detail.groupBy(*by).agg(F.max("run_timestamp_utc").alias("_latest"))
-    kept = detail.join(latest, list(by)).where(F.col("run_timestamp_utc") == F.col("_latest"))
+    kept = salted_join(detail, latest, list(by)).where(F.col("run_timestamp_utc") == F.col("_latest"))
     return kept.withColumns({
         "prediction": number(F.col("prediction").try_cast("double")),
         "ground_truth": number(F.col("ground_truth").try_cast("double"))}).where(

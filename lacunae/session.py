@@ -43,21 +43,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
+def cut_lineage(df: DataFrame, *spread_by: str) -> DataFrame:
+    """Reliable checkpoint: the result survives the loss of executors.
+
+    With `spread_by`, a result in fewer partitions than there are cores is spread by
+    these columns, for algorithms that read it many times.
+    """
     spark = df.sparkSession
     root = scratch_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    stored = df.checkpoint(eager=True)
+    if spread_by:
+        wide = spread(stored, *spread_by)
+        if wide is not stored:
+            return wide.checkpoint(eager=True)
+    return stored
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for costly work on an input that has fewer splits than cores.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a scan (a file or checkpoint) that has fewer splits than cores.
 
     Larger inputs are left as they are: they already have a task per split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
