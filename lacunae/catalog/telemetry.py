@@ -61,7 +61,10 @@ def k2_integrate_one_series(spark, sf):
 
 
 def k3_telemetry_summary(spark, sf):
-    return telemetry.telemetry_summary(_samples(spark, sf), ["user_id"], _ORDER)
+    out = telemetry.telemetry_summary(_samples(spark, sf), ["user_id"], _ORDER, rounded=False)
+    # A mean of two-digit values may lie halfway between two roundings, so nine digits are kept.
+    return out.withColumns({c: F.round(c, 6 if c == "gpu_energy_wh" else 9)
+                            for c, t in out.dtypes if t == "double"})
 
 
 QUERIES = {f.__name__: f for f in (
@@ -87,11 +90,11 @@ SQL = {
     "k2_integrate_one_series": f"""WITH {_STEPS.format(partition="", series="", group="")}
   SELECT n_samples, round(energy_wh, 4) AS energy_wh FROM energy""",
     "k3_telemetry_summary": f"""WITH {_BY_USER}, t AS (SELECT user_id,
-    round((max(us) - min(us)) / 1e6::DOUBLE, 3) AS duration_seconds,
-    round(avg(value), 3) AS mean_gpu_power_w, round(max(value), 3) AS peak_gpu_power_w,
-    round(avg((event_id % 100)::DOUBLE), 3) AS mean_gpu_utilization_pct,
+    round((max(us) - min(us)) / 1e6::DOUBLE, 9) AS duration_seconds,
+    round(avg(value), 9) AS mean_gpu_power_w, round(max(value), 9) AS peak_gpu_power_w,
+    round(avg((event_id % 100)::DOUBLE), 9) AS mean_gpu_utilization_pct,
     max(event_id % 4096)::DOUBLE AS peak_gpu_memory_mib FROM s GROUP BY 1)
-  SELECT user_id, n_samples, duration_seconds, round(energy_wh, 4) AS gpu_energy_wh,
+  SELECT user_id, n_samples, duration_seconds, round(energy_wh, 6) AS gpu_energy_wh,
     mean_gpu_power_w, peak_gpu_power_w, mean_gpu_utilization_pct, peak_gpu_memory_mib
   FROM energy JOIN t USING (user_id) WHERE n_samples >= 2""",
 }

@@ -77,20 +77,21 @@ def energy_wh(df: DataFrame, **options) -> float:
 
 def telemetry_summary(
     df: DataFrame, series: Sequence[str], order: Sequence[str] = ("ts",),
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_rows: int = BUCKET_ROWS, rounded: bool = True,
 ) -> DataFrame:
     """Count, duration, energy, mean and peak power, mean utilisation, peak memory per series."""
     energy = integrate_trapezoid(df, series, order, bucket_rows=bucket_rows).drop("n_samples")
+    micros = F.unix_micros("ts")
     stats = df.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n_samples"),
-        F.round((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / F.lit(1e6), 3)
-        .alias("duration_seconds"),
-        F.round(F.avg("power_w"), 3).alias("mean_gpu_power_w"),
-        F.round(F.max("power_w"), 3).alias("peak_gpu_power_w"),
-        F.round(F.avg("utilisation_pct"), 3).alias("mean_gpu_utilization_pct"),
-        F.round(F.max("memory_mib"), 3).alias("peak_gpu_memory_mib"))
+        ((F.max(micros) - F.min(micros)) / F.lit(1e6)).alias("duration_seconds"),
+        F.avg("power_w").alias("mean_gpu_power_w"), F.max("power_w").alias("peak_gpu_power_w"),
+        F.avg("utilisation_pct").alias("mean_gpu_utilization_pct"),
+        F.max("memory_mib").alias("peak_gpu_memory_mib"))
     joined = stats.join(energy, list(series)) if series else stats.crossJoin(energy)
-    return joined.where(F.col("n_samples") >= 2).select(
-        *series, "n_samples", "duration_seconds", F.round("energy_wh", 4).alias("gpu_energy_wh"),
-        "mean_gpu_power_w", "peak_gpu_power_w", "mean_gpu_utilization_pct",
-        "peak_gpu_memory_mib")
+    digits = {
+        "duration_seconds": 3, "gpu_energy_wh": 4, "mean_gpu_power_w": 3, "peak_gpu_power_w": 3,
+        "mean_gpu_utilization_pct": 3, "peak_gpu_memory_mib": 3}
+    out = joined.where(F.col("n_samples") >= 2).withColumnRenamed("energy_wh", "gpu_energy_wh")
+    return out.select(*series, "n_samples", *[
+        F.round(c, d).alias(c) if rounded else F.col(c) for c, d in digits.items()])
