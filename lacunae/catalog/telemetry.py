@@ -36,8 +36,8 @@ def _sample_lines(spark, sf):
 
 def k1_read_samples(spark, sf):
     return telemetry.parse_samples(_sample_lines(spark, sf)).select(
-        "event_id", F.unix_millis("ts").alias("ts_millis"), "power_w", "utilisation_pct",
-        "memory_mib")
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "power_w",
+        "utilisation_pct", "memory_mib")
 
 
 def _samples(spark, sf):
@@ -81,8 +81,8 @@ _U = sql_unit(2, _KEYS, "line")
 
 SQL = {
     "k1_read_samples": f"""WITH u AS (SELECT *, {_U} AS u FROM events)
-  SELECT event_id, CASE WHEN u < 0.5 THEN epoch_us(ts) // 1000000 * 1000
-    ELSE epoch_us(ts) // 1000 END AS ts_millis, value AS power_w,
+  SELECT event_id, strftime(CASE WHEN u < 0.5 THEN date_trunc('second', ts) ELSE ts END,
+    '%Y-%m-%d %H:%M:%S.%g') AS ts, value AS power_w,
     (event_id % 100)::DOUBLE AS utilisation_pct, 1024::DOUBLE AS memory_mib
   FROM u WHERE u >= 0.15""",
     "k2_integrate_trapezoid": f"""WITH {_BY_USER} SELECT user_id, n_samples,

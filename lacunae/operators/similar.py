@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,34 +50,40 @@ def row_similarity(
     return F.when(used > 0, total / used)
 
 
-def _cell_codes(
+def _with_cells(
     reference: DataFrame, numeric: list[str], text: list[str], limit: int
-) -> Column:
-    """Cell number from binned numbers and hashed text, as many columns as `limit` allows."""
+) -> DataFrame:
+    """Add `_cell` from binned numbers and hashed text, as many columns as `limit` allows.
+
+    A missing value has a part of its own, so the cells of complete columns are tight.
+    """
     columns = (numeric + text)[: int(math.log2(limit))]
     if not columns:
-        return F.lit(0).cast("long")
+        return reference.withColumn("_cell", F.lit(0).cast("long"))
     bins = max(2, int(limit ** (1 / len(columns)))) - 1
-    binned = [c for c in columns if c in numeric]
-    cuts = {}
-    if binned and bins > 1:
+    binned = [c for c in columns if c in numeric and bins > 1]
+    out = reference
+    if binned:
         probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
         row = reference.agg(*[
-            F.percentile_approx(number(c), probs, F.lit(10_000)).alias(f"q{i}")
+            F.percentile_approx(number(c), probs, F.lit(100_000)).alias(f"q{i}")
             for i, c in enumerate(binned)]).first()
-        cuts = {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(binned)}
+        for i, c in enumerate(binned):
+            edges = sorted(set(row[f"q{i}"] or [0.0]))
+            out = out.withColumn(f"_v_{c}", number(c))
+            out = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=f"_v_{c}",
+                             outputCol=f"_bin_{c}", handleInvalid="keep").transform(out)
     code = F.lit(0).cast("long")
     for c in columns:
-        if c in numeric:
-            v = number(c)
+        if c in binned:
+            part = F.col(f"_bin_{c}").cast("int")
+        elif c in numeric:
             part = F.lit(0)
-            for edge in cuts.get(c, []):
-                part = part + (v >= F.lit(edge)).cast("int")
         else:
-            v = F.col(c)
-            part = F.pmod(F.xxhash64(v), F.lit(bins)).cast("int")
-        code = code * (bins + 1) + F.coalesce(part + 1, F.lit(0))
-    return code
+            part = F.pmod(F.xxhash64(c), F.lit(bins)).cast("int")
+        known = number(c).isNotNull() if c in numeric else F.col(c).isNotNull()
+        code = code * (bins + 1) + F.when(known, part + 1).otherwise(0)
+    return out.withColumn("_cell", code).select(*reference.columns, "_cell")
 
 
 def _score(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -218,8 +225,7 @@ def top_similar(
 
     observed = _few_copies(observed, keys, features, k + 1)
     limit = min(MAX_CELLS, max(1, observed.count() // cell_rows))
-    code = _cell_codes(observed, numeric, text, limit)
-    celled = observed.withColumn("_cell", code)
+    celled = _with_cells(observed, numeric, text, limit)
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in [*numeric, *text]:
         v = number(c) if c in numeric else F.col(c)

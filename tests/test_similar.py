@@ -41,6 +41,17 @@ def test_matches_brute_force(numbers, block_rows, cell_rows):
     assert found == _brute(rows.toPandas(), scales, ["x", "hot"], ["label"], 3)
 
 
+def test_one_column_with_many_bins(numbers):
+    rows = numbers.select("k", F.when(F.col("k") % 13 > 0, F.col("x")).alias("x")).withColumn(
+        "t", F.when(F.col("k") % 9 > 0, F.lit(1.0)))
+    got = similar.top_similar(
+        rows.where("t is null"), rows, ["k"], "t", ["x"], 2, cell_rows=5)
+    found = (got.toPandas().sort_values(["k", "example_rank"]).groupby("k")["example_k"]
+             .apply(list).to_dict())
+    scales = numeric_scales(rows.where("t is not null"), ["x"])
+    assert found == _brute(rows.toPandas(), scales, ["x"], [], 2)
+
+
 def test_many_copies_keep_the_smallest_keys(numbers):
     rows = numbers.select("k", (F.col("k") % 4).alias("a"), "label").withColumn(
         "t", F.when(F.col("k") % 50 > 0, F.lit(1.0)))
