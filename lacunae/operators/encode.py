@@ -22,25 +22,29 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
 def category_lists(
     df: DataFrame, columns: Sequence[str], limit: int = MAP_LIMIT
-) -> dict[str, list[str]]:
-    """Sorted categories per column, for models that need them as literals; one pass."""
+) -> dict[str, list[str] | None]:
+    """Sorted categories per column in one pass; None for a column with more than `limit`."""
     if not columns:
         return {}
     cells = F.array(*[
         F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)])
     values = df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct()
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in values.limit(limit * len(columns) + 1).collect():
+    sizes = {r["c"]: r["count"] for r in values.groupBy("c").count().collect()}
+    long = [i for i, n in sizes.items() if n > limit]
+    found: dict[str, list[str] | None] = {
+        c: None if i in long else [] for i, c in enumerate(columns)}
+    for row in values.where(~F.col("c").isin(long) if long else F.lit(True)).collect():
         found[columns[row["c"]]].append(row["v"])
-    for c, labels in found.items():
-        if len(labels) > limit:
-            raise ValueError(f"'{c}' has more than {limit} categories; encode it by join.")
     # UTF-8 order, the order in which Spark and SQL sort text.
-    return {c: sorted(labels, key=lambda v: v.encode()) for c, labels in found.items()}
+    return {c: v and sorted(v, key=lambda x: x.encode()) for c, v in found.items()}
 
 
 def category_list(df: DataFrame, column: str) -> list[str]:
-    return category_lists(df, [column])[column]
+    """Sorted categories of one column, which must be few enough for literals."""
+    labels = category_lists(df, [column])[column]
+    if labels is None:
+        raise ValueError(f"'{column}' has more than {MAP_LIMIT} categories; encode it by join.")
+    return labels
 
 
 def encode(column: str, categories: Sequence[str]) -> Column:
@@ -61,3 +65,11 @@ def encode_by_join(df: DataFrame, column: str, codes: DataFrame, name: str) -> D
     joined = salted_join(df, table, [column], "left")
     code = F.when(F.col(column).isNotNull(), F.coalesce(F.col("_code"), F.lit(-1.0)))
     return joined.select(*df.columns, code.alias(name))
+
+
+def decode_by_join(df: DataFrame, code: str, codes: DataFrame, n: int, name: str) -> DataFrame:
+    """As `decode` for any number of categories."""
+    place = F.greatest(F.least(F.rint(F.col(code)), F.lit(float(n - 1))), F.lit(0.0))
+    table = codes.select(F.col("code").alias("_place"), F.col("value").alias("_label"))
+    joined = salted_join(df.withColumn("_place", place), table, ["_place"], "left")
+    return joined.select(*df.columns, F.col("_label").alias(name))

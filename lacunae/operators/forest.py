@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .modelling import Layout, filled_output, hole, layout
+from .modelling import Layout, hole, layout
+from .profile import numeric_columns
 from .simple import NO_CATEGORY, modes
 
 NOW, OLD = "now__", "old__"
@@ -76,13 +77,13 @@ class MissForest:
         text = [c for c in df.columns if c not in self.keys and c not in plan.numeric
                 and df.schema[c].dataType.typeName() == "string"]
         fills = modes(df, text, self.fallback)
-        for c in text:
-            labels = set(plan.categories.get(c, ()))
-            plan.categories[c] = sorted(labels | {fills[c]})
-            plan.observed.setdefault(c, 0)
+        # Columns without any value get a constant and take no part in the forests.
+        empty = {c: fills[c] for c in text if c not in plan.text}
+        empty.update({c: 0.0 for c in numeric_columns(df)
+                      if c not in self.keys and c not in plan.numeric})
         fills.update({c: plan.mean[c] for c in plan.numeric})
         holed = plan.holed[::-1] if self.decreasing else plan.holed
-        return ForestModel(self, plan, fills, [c for c in holed if plan.observed[c]])
+        return ForestModel(self, plan, fills, holed, empty)
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)
@@ -91,8 +92,11 @@ class MissForest:
 class ForestModel:
     """Start values and column order; `transform` grows the forests on the given table."""
 
-    def __init__(self, settings: MissForest, plan: Layout, fills: dict, order: list[str]) -> None:
+    def __init__(
+        self, settings: MissForest, plan: Layout, fills: dict, order: list[str], empty: dict
+    ) -> None:
         self.settings, self.plan, self.fills, self.order = settings, plan, fills, order
+        self.empty = empty
         self.history: list[dict] = []
         self.n_iter = 0
 
@@ -100,19 +104,19 @@ class ForestModel:
         plan = self.plan
         self.history, self.n_iter = [], 0
         if not self.order:
-            return df
+            return df.fillna(self.empty) if self.empty else df
         start = {}
         for c in plan.columns:
             first = self.fills[c]
-            if c in plan.categories:
-                first = float(plan.categories[c].index(first))
+            if c in plan.text:
+                first = plan.code_of(c, first)
             start[hole(c)] = F.col(c).isNull()
             start[NOW + c] = F.coalesce(plan.value(c), F.lit(float(first)))
         # Every iteration reads the table many times: prepare it once.
-        state = cut_lineage(df.withColumns(start), *(plan.keys or plan.columns))
+        state = cut_lineage(plan.prepare(df).withColumns(start), *(plan.keys or plan.columns))
         masks = {c: hole(c) for c in self.order}
         numeric = {c: m for c, m in masks.items() if c in plan.numeric}
-        text = {c: m for c, m in masks.items() if c in plan.categories}
+        text = {c: m for c, m in masks.items() if c in plan.text}
         previous = (math.inf, math.inf)
         for iteration in range(self.settings.max_iter):
             state = state.withColumns({OLD + c: F.col(NOW + c) for c in self.order})
@@ -132,12 +136,13 @@ class ForestModel:
             if len(self.order) == 1 or all(math.isnan(x) or x == 0 for x in delta):
                 break
             previous = tuple(p if math.isnan(d) else d for d, p in zip(delta, previous))
-        return state.select(*filled_output(df, plan, list(masks), lambda c: F.col(NOW + c)))
+        out = plan.finish(state, df.columns, list(masks), lambda c: F.col(NOW + c))
+        return out.fillna(self.empty) if self.empty else out
 
     def _grow(self, state: DataFrame, target: str) -> DataFrame:
         s = self.settings
         features = [NOW + c for c in self.plan.columns if c != target]
-        kind = RandomForestClassifier if target in self.plan.categories else RandomForestRegressor
+        kind = RandomForestClassifier if target in self.plan.text else RandomForestRegressor
         forest = kind(
             featuresCol="features__", labelCol=NOW + target, predictionCol="predicted__",
             numTrees=s.n_estimators, maxDepth=s.max_depth, maxBins=s.max_bins,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import row_normal
 from ..session import cut_lineage
 from .gram import Gram, grams
-from .modelling import Layout, filled_output, hole, layout
+from .modelling import Layout, hole, layout
 
 # Hyper-prior, iteration limit and tolerance of the ridge; tolerance of a sweep.
 PRIOR = 1e-6
@@ -166,7 +166,7 @@ class Mice:
 def _start(df: DataFrame, plan: Layout) -> DataFrame:
     """The table with number columns filled by the mean, and hole marks."""
     values = {c: plan.value(c) for c in plan.columns}
-    return df.withColumns({
+    return plan.prepare(df).withColumns({
         **{hole(c): v.isNull() for c, v in values.items()},
         **{NOW + c: F.coalesce(v, F.lit(float(plan.mean[c]))) for c, v in values.items()}})
 
@@ -194,7 +194,7 @@ def _moved(state: DataFrame, holed: Sequence[str]) -> float:
 
 
 def _finish(state: DataFrame, df: DataFrame, plan: Layout, fill) -> DataFrame:
-    return state.select(*filled_output(df, plan, plan.holed, fill))
+    return plan.finish(state, df.columns, plan.holed, fill)
 
 
 class MiceModel:
@@ -222,7 +222,7 @@ class MiceModel:
                     NOW + c, F.when(F.col(hole(c)), update).otherwise(F.col(NOW + c)))
         else:
             state = self._replay(state)
-        return state.select(*filled_output(df, plan, holed, lambda c: F.col(NOW + c)))
+        return plan.finish(state, df.columns, holed, lambda c: F.col(NOW + c))
 
     def _replay(self, state: DataFrame) -> DataFrame:
         """All regressions in one pass; a row's result depends on that row alone."""

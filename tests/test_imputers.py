@@ -91,6 +91,25 @@ def test_mice_fills_everything_and_decodes(numbers):
     assert worst < 1e-6
 
 
+def test_many_categories_are_joined_with_the_same_result(numbers, monkeypatch):
+    from lacunae.operators import forest, mice, modelling
+
+    holed = inject.mcar(numbers, 0.1, ["k"], 42, ["y", "label"])
+    few = Mice(["k"]).fit_transform(holed)
+
+    def joined(df, keys):
+        return modelling.layout(df, keys, limit=2)
+
+    monkeypatch.setattr(mice, "layout", joined)
+    many = Mice(["k"]).fit_transform(holed)
+    both = few.join(many.select("k", F.col("y").alias("y2"), F.col("label").alias("l2")), "k")
+    assert many.columns == holed.columns and both.count() == 2000
+    assert both.where("label != l2 or abs(y - y2) > 1e-6 or l2 is null").count() == 0
+    monkeypatch.setattr(forest, "layout", joined)
+    grown = MissForest(["k"], n_estimators=4, max_depth=4, max_iter=1).fit_transform(holed)
+    assert grown.where("y is null or label is null").count() == 0
+
+
 def test_mice_posterior_mean_is_close_and_seeded(numbers, one_target):
     plain = _score(numbers, one_target, Mice(["k"]).fit_transform(one_target))
     drawn = Mice(["k"], sample_posterior=True, n_imputations=4)
@@ -111,6 +130,15 @@ def test_forest_stops_and_keeps_history(numbers):
     assert {"numeric_delta", "categorical_delta", "stopped"} <= set(model.history[0])
 
 
+def test_forest_fills_empty_columns_with_constants(numbers):
+    holed = inject.mcar_column(numbers, 0.1, "y", ["k"]).withColumns({
+        "none": F.lit(None).cast("double"), "word": F.lit(None).cast("string")})
+    filled = MissForest(["k"], n_estimators=3, max_depth=3).fit_transform(holed)
+    assert {tuple(r) for r in filled.select("none", "word").distinct().collect()} == {
+        (0.0, "missing")}
+    assert filled.where("y is null").count() == 0
+
+
 def test_convergence_delta(spark):
     df = spark.createDataFrame(
         [(1.0, 2.0, True, 0.0, 1.0), (3.0, 3.0, True, 1.0, 1.0), (9.0, 0.0, False, 0.0, 1.0)],

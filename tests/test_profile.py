@@ -90,5 +90,8 @@ def test_codes(spark):
     back = spark.createDataFrame([(-3.0,), (0.4,), (0.5,), (1.5,), (9.0,)], "v double")
     labels = [r[0] for r in back.select(encode.decode(F.col("v"), known)).collect()]
     assert labels == ["a", "a", "a", "b", "b"]
-    with pytest.raises(ValueError):
-        encode.category_lists(df, ["t"], limit=2)
+    assert encode.category_lists(df, ["t"], limit=2) == {"t": None}
+    found = encode.decode_by_join(back.withColumn("k", F.lit(1)), "v", encode.category_codes(
+        df.where("t != 'z'"), "t"), 2, "label")
+    assert sorted((r["v"], r["label"]) for r in found.collect()) == [
+        (-3.0, "a"), (0.4, "a"), (0.5, "a"), (1.5, "b"), (9.0, "b")]
