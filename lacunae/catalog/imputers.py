@@ -19,7 +19,8 @@ from ..operators.simple import MeanMode, MedianMode
 from ..session import scratch_path
 from ..streaming.fill import fill_stream, read_stream
 from .fixtures import (
-    LINE_KEYS, LINES, ORDER_KEYS, lines, load, orders, sql_holed_orders, sql_keep, sql_unit)
+    LINE_KEYS, LINES, ORDER_KEYS, lines, load, orders, sql_hex, sql_holed_orders, sql_keep,
+    sql_unit)
 
 _MIXED = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
 
@@ -123,13 +124,14 @@ def d9_domain_fallback(spark, sf):
                       "fallback_source")
 
 
-def d10_imputers_by_key(spark, sf):
+def _scores_by_key(spark, sf, imputers):
+    """Scores of imputers on one holed column, without joining truth and fills."""
     target = ["l_charge"]
     full = lines(spark, sf).drop("l_returnflag", "l_linestatus")
     holed = evaluate.with_holes(inject.mcar_column(
         evaluate.with_truth(full, target), 0.1, "l_charge", LINE_KEYS), target)
     parts = []
-    for key in ("meanmode", "medianmode", "mice", "dae"):
+    for key in imputers:
         imputer = build_imputer(key, 42, [*LINE_KEYS, *evaluate.carried(target)])
         score = evaluate.evaluate_target(
             evaluate.as_filled(imputer.fit_transform(holed), target), "l_charge")
@@ -137,6 +139,15 @@ def d10_imputers_by_key(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+def d10_imputers_by_key(spark, sf):
+    return _scores_by_key(spark, sf, ("meanmode", "medianmode", "mice", "dae"))
+
+
+def d10_simple_imputers_by_key(spark, sf):
+    return _scores_by_key(spark, sf, ("meanmode", "medianmode")).withColumns({
+        "mean_rmse": F.round("mean_rmse", 4), "mean_nrmse": F.round("mean_nrmse", 8)})
+
+
 def d11_streaming_fill(spark, sf):
     whole = load(spark, sf, "orders")
     keep = [c for c in whole.columns if c != "o_orderdate"]
@@ -153,7 +164,8 @@ def d11_streaming_fill(spark, sf):
 QUERIES = {f.__name__: f for f in (
     slice_mcar_meanmode_nrmse, d1_meanmode, d2_medianmode, d3_mice, d3_mice_global,
     d4_mice_posterior, d5_missforest, d6_convergence_delta, d7_denoising, d8_ordinal_encode,
-    d8_encode_by_join, d9_domain_fallback, d10_imputers_by_key, d11_streaming_fill)}
+    d8_encode_by_join, d9_domain_fallback, d10_imputers_by_key,
+    d10_simple_imputers_by_key, d11_streaming_fill)}
 
 _HOLED_MIXED = f"""holed AS (SELECT o_orderkey, o_custkey,
   {", ".join(f"{sql_keep(42, ORDER_KEYS, c, 0.1)} AS {c}" for c in _MIXED)} FROM orders)"""
@@ -174,6 +186,17 @@ def _simple(centre: str) -> str:
 
 _K = ", ".join(LINE_KEYS)
 
+
+def _simple_score(key: str, centre: str) -> str:
+    return f"""SELECT '{key}' AS method_key,
+    round(sqrt(avg((t - c) ** 2)), 4) AS mean_rmse,
+    round(sqrt(avg((t - c) ** 2)) / (stddev_pop(t) + 1e-8::DOUBLE), 8) AS mean_nrmse,
+    count(*) AS n_masked_target, 0::BIGINT AS n_unfilled
+  FROM (SELECT l_charge AS t, hole, (SELECT {centre}(l_charge) FROM marked WHERE NOT hole) AS c
+    FROM marked) WHERE hole"""
+
+
+
 SQL = {
     "slice_mcar_meanmode_nrmse": f"""WITH {sql_holed_orders()},
   filled AS (SELECT truth, o_totalprice AS h,
@@ -209,5 +232,9 @@ SQL = {
     CASE WHEN l_charge IS NULL THEN CASE WHEN l_extendedprice * l_net IS NOT NULL
       THEN 'fallback_l_extendedprice_x_l_net' ELSE 'fallback_median' END END AS fallback_source
   FROM holed""",
+    "d10_simple_imputers_by_key": f"""WITH {LINES}, marked AS (SELECT l_charge,
+    row_number() OVER (ORDER BY {sql_hex(42, LINE_KEYS, "'l_charge'")})
+      <= floor(0.1::DOUBLE * count(*) OVER ()) AS hole FROM lines)
+  {_simple_score("meanmode", "avg")} UNION ALL {_simple_score("medianmode", "median")}""",
     "d11_streaming_fill": _simple("avg"),
 }

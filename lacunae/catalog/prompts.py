@@ -144,6 +144,12 @@ def e12_matrix_prompt(spark, sf):
                       .select("batch_id", F.col("prompt").alias("retry_prompt")), "batch_id")
 
 
+def e12_matrix_prompt_plain(spark, sf):
+    placed = matrix.batch_rows(with_position(customers(spark, sf), CUSTOMER_KEYS), 40)
+    return prompts.matrix_prompts(
+        placed, "Customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
+
+
 def e13_training_dataset(spark, sf):
     rows = orders(spark, sf)
     scenarios = [
@@ -191,7 +197,7 @@ def e17_prompt_only(spark, sf):
 QUERIES = {f.__name__: f for f in (
     e1_row_similarity, e2_topk_similar, e2_topk_similar_ties, e3_format_value, e4_feature_text,
     e5_stats_text, e6_build_prompt, e7_training_messages, e8_inference_messages,
-    e9_retry_messages, e10_legacy_messages, e11_record_prompt, e12_matrix_prompt,
+    e9_retry_messages, e10_legacy_messages, e11_record_prompt, e12_matrix_prompt, e12_matrix_prompt_plain,
     e13_training_dataset, e14_sample_records, e15_batch_rows, e16_assistant_target,
     e17_prompt_only)}
 
@@ -283,6 +289,30 @@ def _top(target: str, features: list[str], numeric: list[str], k: int) -> str:
     WHERE similarity IS NOT NULL QUALIFY example_rank <= {k})"""
 
 
+_MATRIX_COLUMNS = ["c_custkey", "c_nationkey", "c_mktsegment"]
+
+
+def _laid_out(cells: list[str]) -> str:
+    """Cells right-aligned to the width of their column, one space apart."""
+    return " || ' ' || ".join(
+        f"lpad({cell}, w_{c}, ' ')" for c, cell in zip(_MATRIX_COLUMNS, cells))
+
+
+def _width(c: str) -> str:
+    """Values have a sign place in front, headers only over numbers."""
+    head = len(c) + (c != "c_mktsegment")
+    return (f"greatest({head}, 1 + max(length({c}::VARCHAR)) OVER (PARTITION BY batch_id))::INTEGER "
+            f"AS w_{c}")
+
+
+def _matrix_text() -> str:
+    head, rest = texts.MATRIX_PROMPT.format(
+        dataset="Customer", matrix="@", header=", ".join(_MATRIX_COLUMNS), n_columns=3,
+        n_commas=2, n_rows="#").split("@")
+    above, below = rest.split("#")
+    return f"{_q(head)} || matrix || {_q(above)} || n_rows::VARCHAR || {_q(below)}"
+
+
 _TOP_RESULT = ("SELECT c_custkey, example_rank, example_c_custkey, "
                "round(similarity, 9) AS similarity FROM top")
 _E1 = ["c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -334,6 +364,16 @@ SQL = {
                          ('current', {_q(texts.SYSTEM)})) v(style, text)""",
     "e11_record_prompt": f"""WITH {_HOLED} SELECT c_custkey, {_record(False)} AS prompt,
   {_record(True)} AS retry_prompt FROM holed, s WHERE c_acctbal IS NULL""",
+    "e12_matrix_prompt_plain": f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1
+    AS position FROM customer),
+  b AS (SELECT *, position // 40 AS batch_id, (position % 40)::VARCHAR AS i FROM p),
+  w AS (SELECT *, {", ".join(_width(c) for c in _MATRIX_COLUMNS)}, max(length(i)) OVER (PARTITION BY batch_id)::INTEGER AS w_i FROM b),
+  m AS (SELECT batch_id, count(*) AS n_rows,
+    repeat(' ', max(w_i)) || ' ' || any_value({_laid_out([_q(c) for c in _MATRIX_COLUMNS])})
+    || chr(10) || string_agg(rpad(i, w_i, ' ') || ' ' ||
+      {_laid_out([f"{c}::VARCHAR" for c in _MATRIX_COLUMNS])}, chr(10) ORDER BY position) AS matrix
+    FROM w GROUP BY 1)
+  SELECT batch_id, n_rows, {_matrix_text()} AS prompt FROM m""",
     "e13_training_dataset": """WITH c AS (SELECT count(*) AS n FROM orders), k AS (
     SELECT 'orders_mcar' AS input_table, 'MCAR' AS mechanism, n,
       floor(0.1::DOUBLE * n)::BIGINT AS k FROM c

@@ -23,7 +23,7 @@ HISTOGRAM_BUCKETS = 4096
 COLLECT_LIMIT = 20_000
 SMALL_COLUMN = 1_000_000
 BUCKET_ROWS = 250_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 20_000
 BROADCAST_ROWS = 100_000
 
 
@@ -122,8 +122,12 @@ def _count_cells(df: DataFrame, ranges: list[_Range], buckets: int | None):
     for i, r in enumerate(ranges):
         v = F.col(r.column)
         cell = F.lit(0)
-        if buckets is not None:
-            share = (v - F.lit(r.low)) / F.lit(r.high - r.low)
+        if buckets is not None and math.isinf(r.high - r.low) and (
+                math.isinf(r.low) or math.isinf(r.high)):
+            cell = F.when(v == F.lit(math.inf), 2).when(v == F.lit(-math.inf), 0).otherwise(1)
+        elif buckets is not None:
+            # Halves, so that the width of the widest range is still a number.
+            share = (v / 2 - F.lit(r.low / 2)) / F.lit(r.high / 2 - r.low / 2)
             cell = F.least(F.floor(share * buckets), F.lit(buckets - 1))
         inside = v.between(F.lit(r.low), F.lit(r.high))
         entries.append(F.when(inside, F.struct(
@@ -227,7 +231,8 @@ def order_buckets(df: DataFrame, by: Sequence[str], n: int, bucket_rows: int) ->
         return df.withColumn("_b", F.lit(0).cast("long"))
     probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), probs, F.lit(100_000)).alias(f"q{i}")
+        F.percentile_approx(
+            F.col(c).cast("double"), probs, F.lit(max(10_000, 20 * parts))).alias(f"q{i}")
         for i, c in enumerate(by[:2])]).first()
     edges = sorted(set(cuts["q0"]))
     repeats = {i: cuts["q0"].count(e) for i, e in enumerate(edges) if cuts["q0"].count(e) > 1}

@@ -28,6 +28,14 @@ def test_pick_ranks_narrows_over_several_passes(numbers):
     assert got[700].below == sum(v < values[700] for v in values)
 
 
+def test_ranks_with_infinite_and_huge_values(spark):
+    inf = float("inf")
+    values = [-inf, -1.7e308, -3.0, 0.0, 1e-300, 2.0, 1.7e308, inf, inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = order.pick_ranks(df, {"v": range(9)}, collect_limit=1, buckets=4)["v"]
+    assert [got[i].value for i in range(9)] == values
+
+
 def test_smallest_breaks_ties_by_the_next_key(numbers):
     rows = numbers.select("k", "hot")
     for k in (0, 1, 57, 400, 2000):
