@@ -166,7 +166,7 @@ def e13_training_dataset(spark, sf):
 
 def e14_sample_records(spark, sf):
     rows = load(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return folds.sample_records(rows, 200, ["conv_id", "turn"])
+    return folds.sample_records(rows, rows.count() // 4, ["conv_id", "turn"])
 
 
 def e15_batch_rows(spark, sf):
@@ -386,7 +386,7 @@ SQL = {
     "e14_sample_records": f"""SELECT conv_id, turn, role, sample_position FROM (
   SELECT conv_id, turn, role, row_number() OVER (ORDER BY
     {sql_unit(42, ["conv_id", "turn"], "sample")}) - 1 AS sample_position FROM conversations)
-  WHERE sample_position < 200""",
+  WHERE sample_position < (SELECT count(*) // 4 FROM conversations)""",
     "e15_batch_rows": """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1
     AS position FROM orders)
   SELECT o_orderkey, position, position // 40 AS batch_id, position % 40 AS row_in_batch,
