@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import find_leaks, leak_report
+from .packing import pack_documents
 from .sharding import shard_by_ring
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
@@ -16,6 +19,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_ring(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select(
@@ -23,13 +30,25 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leak_report(find_leaks(docs, table(spark, sf_dir, "benchmark"), 10))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_suffix_dedup": op7_suffix_dedup,
 }
 
 SQL: dict[str, str] = {}
