@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
 from .decontam import find_leaks, leak_report
+from .html_text import page_texts
+from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_by_ring
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
+from .toxicity import is_held_out, score_toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +28,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_ring(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select(
@@ -30,6 +41,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leak_report(find_leaks(docs, table(spark, sf_dir, "benchmark"), 10))
@@ -43,12 +58,21 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 100)
 
 
-QUERIES = {
-    "op1_packing": op1_packing,
-    "op3_sharding": op3_sharding,
-    "op5_decontamination": op5_decontamination,
-    "op6_token_counts": op6_token_counts,
-    "op7_suffix_dedup": op7_suffix_dedup,
-}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and the numbers of those that repeat an earlier line."""
+    return dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_toxicity, op3_sharding, op4_nearest_neighbours, op5_decontamination,
+    op6_token_counts, op7_suffix_dedup, op8_line_dedup, op9_near_dedup, op10_html_extraction)}
 
 SQL: dict[str, str] = {}
