@@ -5,9 +5,8 @@ its longest one. A block of vectors has, for each of `projections` random direct
 sorted by projection. A query opens a window around its own projection in every array; vectors inside
 collide with it. The windows of a query grow by the factor `growth` (virtual rehashing: only what is new
 in a window is counted), and each vector that collides in a share `threshold` of all arrays is
-verified by its inner product. A query is done when `verify_share` of the block and `k` more are verified,
-or when `k` vectors are verified that are nearer than the radius times `growth`, of which `settle` times
-as many must have been looked at; the windows then end.
+verified by its inner product. A query is done when `verify_share` of the block and `k` more are verified, or
+when `k` verified vectors are nearer than `growth` times the radius, which is the window's width by `WIDTH`.
 
 Equal vectors are searched once. Vectors and queries are dealt into blocks of bounded size, and every
 block of queries meets every block of vectors, so no task holds more than two blocks.
@@ -23,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+# Width of a window for radius 1: vectors at this distance collide with a probability of 0.83.
+WIDTH = 2.72
+
+
 class CollisionIndex:
     """Sorted projections of a block of vectors."""
 
@@ -37,18 +40,18 @@ class CollisionIndex:
         self.values = np.take_along_axis(values, self.order.T, 0).T.copy()
         self.longest = lengths.max()
 
-    def search(self, queries: np.ndarray, k: int, threshold: float = 0.5, verify_share: float = 0.05,
-               growth: float = 1.3, first_radius: float = 0.4, settle: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, threshold: float = 0.75, verify_share: float = 0.12,
+               growth: float = 1.25, first_width: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, inner product) of all verified vectors among the best `k` of each query."""
         found = [], [], []
         for start in range(0, len(queries), 64):
-            part = self._search(queries[start:start + 64], k, threshold, verify_share, growth, first_radius, settle)
+            part = self._search(queries[start:start + 64], k, threshold, verify_share, growth, first_width)
             for out, new in zip(found, part, strict=True):
                 out.append(new)
             found[0][-1] += start
         return tuple(np.concatenate(x) for x in found)
 
-    def _search(self, queries, k, threshold, verify_share, growth, radius, settle):
+    def _search(self, queries, k, threshold, verify_share, growth, width):
         n, m = len(self.vectors), len(self.order)
         units = queries / np.sqrt((queries * queries).sum(1))[:, None]
         centres = units @ self.directions[:-1]
@@ -62,7 +65,7 @@ class CollisionIndex:
         live = np.arange(len(queries))
         while len(live):
             for j in range(m):
-                half = radius / 2
+                half = width / 2
                 new_low = np.searchsorted(self.values[j], centres[live, j] - half)
                 new_high = np.searchsorted(self.values[j], centres[live, j] + half, side="right")
                 for a, b in ((new_low, low[j, live]), (high[j, live], new_high)):
@@ -79,16 +82,16 @@ class CollisionIndex:
                 done = int(verified.sum())
                 if done >= enough:
                     continue
-                if done >= settle * k:
+                if done >= k:
                     # k-th best distance after scaling, against the radius reached
                     kth = np.partition(scores[q][verified], -k)[-k]
                     length = np.sqrt(queries[q] @ queries[q]) * self.longest
-                    if np.sqrt(max(0.0, 2 - 2 * kth / length)) <= radius:
+                    if np.sqrt(max(0.0, 2 - 2 * kth / length)) <= growth * width / WIDTH:
                         continue
                 if done < n:
                     open_queries.append(q)
             live = np.array(open_queries, np.int64)
-            radius *= growth
+            width *= growth
         rows, places = [], []
         for q in range(len(queries)):
             verified = np.flatnonzero(scores[q] > -np.inf)
@@ -107,7 +110,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, query_filter, k: int = 20, projections: int = 64,
+def nearest(vectors: DataFrame, query_filter, k: int = 20, projections: int = 128,
             block_rows: int = 8192, query_rows: int = 4096, id_col: str = "vec_id",
             vector_col: str = "embedding", **search) -> DataFrame:
     """The `k` largest inner products found for every row where `query_filter` holds.
