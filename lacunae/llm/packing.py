@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 
 Pattern = tuple[tuple[int, ...], int]
-MAX_KNOWN = 400_000
+MAX_KNOWN = 600_000
 RANK_ROWS = 100_000
 
 
@@ -59,13 +59,30 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
         self.double = re.compile(r"\s\s")
         self.space = re.compile(r"(?<=\S) (?=\S)")
+        self.blank = re.compile(r"\s")
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 10_000):
+        for i in range(0, len(texts), 500):
             for found in self.tokenizer.encode_batch_fast(
-                    texts[i:i + 10_000], add_special_tokens=False):
+                    texts[i:i + 500], add_special_tokens=False):
                 yield array("I", found.ids).tobytes()
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks; those without white space are encoded in rows and cut at their spaces."""
+        plain = [c for c in chunks if c and not self.blank.search(c)]
+        rows = [plain[i:i + 200] for i in range(0, len(plain), 200)]
+        odd = [c for c in chunks if not c or self.blank.search(c)]
+        for row, ids in zip(rows, self._encode([" " + " ".join(row) for row in rows]), strict=True):
+            cuts = (4 * np.flatnonzero(self.opens[np.frombuffer(ids, np.uint32)])).tolist()
+            if len(cuts) == len(row):
+                self.known.update(zip(row, [ids[a:b] for a, b in itertools.pairwise([*cuts, len(ids)])]))
+            else:
+                odd.extend(row)
+        self.known.update(zip(odd, self._encode([" " + c for c in odd]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return list(self._encode(texts))
@@ -74,9 +91,11 @@ class ChunkEncoder:
         known = self.known
         if len(known) > MAX_KNOWN:
             known.clear()
-        new = {c for p, w in zip(parts, whole, strict=True) if not w for c in p[1:]} - known.keys()
-        new_list = list(new)
-        known.update(zip(new_list, self._encode([" " + c for c in new_list]), strict=True))
+        new: set[str] = set()
+        for p, w in zip(parts, whole, strict=True):
+            if not w:
+                new.update(p[1:])
+        self._learn([c for c in new if c not in known])
         heads = iter(list(self._encode([t if w else p[0] for t, p, w in
                                         zip(texts, parts, whole, strict=True)])))
         get = known.__getitem__
