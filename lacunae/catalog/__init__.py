@@ -1,8 +1,8 @@
 """Queries over the given tables, and the same results in SQL."""
 
-from . import answers, folds, holes, imputers, prompts, runs, scores, tables, telemetry
+from . import answers, folds, holes, imputers, models, prompts, runs, scores, tables, telemetry
 
-PARTS = (tables, holes, imputers, prompts, answers, folds, scores, runs, telemetry)
+PARTS = (tables, holes, imputers, models, prompts, answers, folds, scores, runs, telemetry)
 
 
 def all_queries() -> dict:

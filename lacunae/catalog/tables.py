@@ -44,9 +44,15 @@ def a4_discover_scenarios(spark, sf):
     for mechanism in ("MAR", "MCAR"):
         rows.write.option("header", True).csv(f"{root}/{mechanism}")
     found = tables.discover_scenarios(spark, root, glob="*.csv")
-    # How many part files there are depends on the cluster; their mechanisms do not.
-    return found.select("mechanism").distinct().join(
-        rows.agg(F.count(F.lit(1)).alias("n_rows")), F.lit(True))
+    # How many part files there are depends on the cluster, but the rows in them do not.
+    parts = [
+        tables.read_table(spark, [r.path for r in found.where(F.col("mechanism") == m).collect()],
+                          rows.schema).select(
+            F.lit(m).alias("mechanism"), F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+            .alias("folder"), "o_totalprice")
+        for m in ("MAR", "MCAR")]
+    return parts[0].unionByName(parts[1]).groupBy("mechanism", "folder").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def a5_chat_jsonl(spark, sf):
@@ -71,7 +77,7 @@ def a7_replace_slice(spark, sf):
     rows = orders(spark, sf).select(
         "o_orderkey", F.concat(F.lit("Model "), "o_orderpriority").alias("imputation_method"),
         F.col("o_totalprice").alias("mean_rmse"))
-    fresh = rows.where(F.col("o_orderkey") < 100).withColumn(
+    fresh = rows.where(F.col("o_orderkey") % 3 == 0).withColumn(
         "imputation_method", F.lit("Model 1-NEW"))
     return results.replace_slice(rows, fresh, "Model 1-")
 
@@ -97,6 +103,37 @@ def b1_coerce_numeric(spark, sf):
     return profile.coerce_numeric(_text_orders(spark, sf), threshold=0.95)
 
 
+def b1_number_literals(spark, sf):
+    """Codes that a cast would read as numbers stay text, in whichever share they come."""
+    u = row_unit(7, ORDER_KEYS, "literal")
+    rows = orders(spark, sf).select(
+        "o_orderkey", F.when(u < 0.5, F.concat("o_custkey", F.lit("d"))).when(
+            u < 0.8, F.concat("o_custkey", F.lit("F"))).when(u < 0.9, "0x1p3").otherwise(
+            F.col("o_custkey").cast("string")).alias("code"))
+    return profile.coerce_numeric(rows, threshold=0.05).select(
+        "o_orderkey", F.col("code").cast("double").alias("code"))
+
+
+def b2_detect_id_columns(spark, sf):
+    """Identifier columns of two tables, with their values counted."""
+    parts = []
+    for name, explicit in (("documents", []), ("customer", ["c_custkey"])):
+        rows = load(spark, sf, name)
+        ids = sorted(profile.detect_id_columns(rows, explicit))
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in ids])
+        parts.append(rows.select(F.lit(name).alias("table_name"), F.inline(cells)))
+    return parts[0].unionByName(parts[1]).groupBy("table_name", "column_name").agg(
+        F.count("v").alias("n"), F.countDistinct("v").alias("n_distinct"))
+
+
+def b9_feature_columns(spark, sf):
+    rows = _holed_lines(spark, sf)
+    features = profile.feature_columns(rows, "l_charge", LINE_KEYS)
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column_name"),
+                               F.col(c).isNotNull().cast("long").alias("v")) for i, c in enumerate(features)])
+    return rows.select(F.inline(cells)).groupBy("place", "column_name").agg(F.sum("v").alias("n_observed"))
+
+
 def b1_numeric_share(spark, sf):
     shares = profile.numeric_share(_text_orders(spark, sf))
     return spark.createDataFrame(
@@ -158,8 +195,8 @@ def b8_split_observed(spark, sf):
 QUERIES = {f.__name__: f for f in (
     a1_read_table, a2_read_whitespace, a3_write_scenario, a4_discover_scenarios, a5_chat_jsonl,
     a6_append_union, a7_replace_slice, a8_setting_path, b1_coerce_numeric, b1_numeric_share,
-    b3_null_profile, b4_resolve_targets, b5_prepare_pair, b6_target_summary, b7_numeric_scales,
-    b8_split_observed)}
+    b1_number_literals, b2_detect_id_columns, b3_null_profile, b4_resolve_targets, b5_prepare_pair, b6_target_summary, b7_numeric_scales,
+    b8_split_observed, b9_feature_columns)}
 
 _TYPED = f"""typed AS (SELECT *, {sql_unit(7, ORDER_KEYS, "typing")} AS u FROM orders),
 text AS (SELECT o_orderkey,
@@ -187,8 +224,8 @@ SQL = {
     "a3_write_scenario": """SELECT 'MCAR' AS mechanism, 'orders_target' AS scenario,
   pct AS rate_pct, count(*) AS n_rows, floor(pct / 100.0::DOUBLE * count(*))::BIGINT AS n_missing
   FROM orders, (VALUES (10), (15)) r(pct) GROUP BY pct""",
-    "a4_discover_scenarios": """SELECT m AS mechanism, count(*) AS n_rows
-  FROM orders, (VALUES ('MAR'), ('MCAR')) v(m) GROUP BY m""",
+    "a4_discover_scenarios": """SELECT m AS mechanism, m AS folder, count(*) AS n_rows,
+  round(sum(o_totalprice), 2) AS total FROM orders, (VALUES ('MAR'), ('MCAR')) v(m) GROUP BY m""",
     "a5_chat_jsonl": """SELECT role, count(*) AS n_records, sum(length(text))::BIGINT AS n_chars
   FROM conversations GROUP BY 1""",
     "a6_append_union": """SELECT o_orderkey,
@@ -196,7 +233,7 @@ SQL = {
   CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders""",
     "a7_replace_slice": """SELECT o_orderkey, 'Model ' || o_orderpriority AS imputation_method,
   o_totalprice AS mean_rmse FROM orders WHERE NOT starts_with(o_orderpriority, '1-')
-  UNION ALL SELECT o_orderkey, 'Model 1-NEW', o_totalprice FROM orders WHERE o_orderkey < 100""",
+  UNION ALL SELECT o_orderkey, 'Model 1-NEW', o_totalprice FROM orders WHERE o_orderkey % 3 = 0""",
     "a8_setting_path": f"""SELECT p_partkey, concat_ws('__', {_token("p_brand")},
   {_token("p_type")}, {_token("p_name")},
   CASE WHEN p_size > 25 THEN {_token("' (v ' || p_size::VARCHAR || ')'")} END) || '.csv'
@@ -210,6 +247,14 @@ SQL = {
     THEN 1.0::DOUBLE ELSE 0 END), 6) FROM text
   UNION ALL SELECT 'never', round(avg(CASE WHEN TRY_CAST(trim(never) AS DOUBLE) < 'inf'::DOUBLE
     THEN 1.0::DOUBLE ELSE 0 END), 6) FROM text""",
+    "b1_number_literals": f"""SELECT o_orderkey,
+  CASE WHEN {sql_unit(7, ORDER_KEYS, "literal")} >= 0.9 THEN o_custkey::DOUBLE END AS code FROM orders""",
+    "b2_detect_id_columns": """SELECT 'documents' AS table_name, 'doc_id' AS column_name,
+  count(doc_id) AS n, count(DISTINCT doc_id) AS n_distinct FROM documents
+  UNION ALL SELECT 'customer', 'c_custkey', count(c_custkey), count(DISTINCT c_custkey) FROM customer""",
+    "b9_feature_columns": f"""WITH {_HOLED_LINES} """ + " UNION ALL ".join(
+        f"SELECT {i} AS place, '{c}' AS column_name, count({c}) AS n_observed FROM holed"
+        for i, c in enumerate(x for x in _ALL_LINE_COLUMNS if x not in (*LINE_KEYS, "l_charge"))),
     "b3_null_profile": f"""WITH {_HOLED_LINES} """ + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, "
         f"round((count(*) - count({c}))::DOUBLE / count(*), 9) AS null_fraction FROM holed"

@@ -16,7 +16,12 @@ _SCALE = float(2**52)
 
 
 def row_hex(seed: int, keys: Sequence[str], salt: str) -> Column:
-    """32 hex digits for (seed, row key, salt)."""
+    """32 hex digits for (seed, row key, salt).
+
+    Without a key all rows would share one number, so that is an error.
+    """
+    if not keys:
+        raise ValueError("Random numbers need the key columns of the rows.")
     parts = [F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.lit(salt)]
     return F.md5(F.concat_ws(":", *parts))
 

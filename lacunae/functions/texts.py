@@ -125,4 +125,6 @@ MATRIX_RETRY = (
 FIRST_TRY, RETRY = "model_first_try", "model_retry"
 RECORD_FIRST_TRY, RECORD_RETRIED = "paper_single_prompt", "paper_single_prompt_retry"
 MATRIX_SOURCE, MATRIX_FOLD_SOURCE = "paper_prompt", "paper_prompt_fold"
+# Sources of an answer that the model gave when it was first asked.
+FIRST_ANSWERS = (FIRST_TRY, RECORD_FIRST_TRY, MATRIX_SOURCE, MATRIX_FOLD_SOURCE)
 TRAIN_MEDIAN_SOURCE = "fallback_train_median"

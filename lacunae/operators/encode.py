@@ -21,7 +21,7 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def category_lists(
-    df: DataFrame, columns: Sequence[str], limit: int = MAP_LIMIT
+    df: DataFrame, columns: Sequence[str], limit: int | None = MAP_LIMIT
 ) -> dict[str, list[str] | None]:
     """Sorted categories per column in one pass; None for a column with more than `limit`."""
     if not columns:
@@ -30,7 +30,7 @@ def category_lists(
         F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)])
     values = df.select(F.inline(cells)).where(F.col("v").isNotNull()).distinct()
     sizes = {r["c"]: r["count"] for r in values.groupBy("c").count().collect()}
-    long = [i for i, n in sizes.items() if n > limit]
+    long = [i for i, n in sizes.items() if limit is not None and n > limit]
     found: dict[str, list[str] | None] = {
         c: None if i in long else [] for i, c in enumerate(columns)}
     for row in values.where(~F.col("c").isin(long) if long else F.lit(True)).collect():
@@ -40,11 +40,8 @@ def category_lists(
 
 
 def category_list(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories of one column, which must be few enough for literals."""
-    labels = category_lists(df, [column])[column]
-    if labels is None:
-        raise ValueError(f"'{column}' has more than {MAP_LIMIT} categories; encode it by join.")
-    return labels
+    """Sorted categories of one column, as literals; `category_codes` is the table for very many."""
+    return category_lists(df, [column], limit=None)[column] or []
 
 
 def encode(column: str, categories: Sequence[str]) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from .order import number, running_totals
 
 EPSILON = 1e-8
@@ -140,7 +141,7 @@ def detail_rows(
 def answer_metrics(detail: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scores of model answers on rows with a prediction and a truth.
 
-    Any answer that is not the model's first one counts as a fallback.
+    Any answer that is not the model's first one, in whichever plan, counts as a fallback.
     """
     p, t = number("prediction"), number("ground_truth")
     valid = detail.where(p.isNotNull() & t.isNotNull())
@@ -148,7 +149,7 @@ def answer_metrics(detail: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("n_valid"),
         F.sqrt(F.avg((t - p) * (t - p))).alias("mean_rmse"),
         F.stddev_pop(t).alias("_std"),
-        F.avg((~F.col("source").eqNullSafe("model_first_try")).cast("double"))
+        F.avg((~F.coalesce(F.col("source").isin(*texts.FIRST_ANSWERS), F.lit(False))).cast("double"))
         .alias("fallback_rate"))
     return out.select(
         *by, "n_valid", "mean_rmse",

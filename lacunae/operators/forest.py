@@ -64,7 +64,7 @@ class MissForest:
     def __init__(
         self, keys: Sequence[str] = (), seed: int = 42, n_estimators: int = 200,
         max_iter: int = 10, max_features: str = "sqrt", min_samples_leaf: int = 1,
-        max_depth: int = 12, max_bins: int = 64, decreasing: bool = False,
+        max_depth: int = 30, max_bins: int = 64, decreasing: bool = False,
         fallback: str = NO_CATEGORY,
     ) -> None:
         self.keys, self.seed, self.max_iter = list(keys), seed, max_iter
@@ -149,7 +149,11 @@ class ForestModel:
             minInstancesPerNode=s.min_samples_leaf, featureSubsetStrategy=s.max_features,
             seed=s.seed)
         assembled = VectorAssembler(inputCols=features, outputCol="features__").transform(state)
-        model = forest.fit(assembled.where(~F.col(hole(target))).select("features__", NOW + target))
+        label = F.col(NOW + target)
+        if target in self.plan.text:  # without their number, at most 100 classes are taken
+            label = label.alias(NOW + target, metadata={
+                "ml_attr": {"type": "nominal", "num_vals": self.plan.n_categories(target)}})
+        model = forest.fit(assembled.where(~F.col(hole(target))).select("features__", label))
         predicted = model.transform(assembled)
         return predicted.withColumn(
             NOW + target, F.when(F.col(hole(target)), F.col("predicted__"))

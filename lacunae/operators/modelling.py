@@ -64,6 +64,9 @@ class Layout:
             return float(self.categories[c].index(label))
         return self.codes[c][0].where(F.col("value") == label).first()["code"]
 
+    def n_categories(self, c: str) -> int:
+        return len(self.categories[c]) if c in self.categories else self.codes[c][1]
+
     def finish(
         self, state: DataFrame, columns: Sequence[str], holed: Sequence[str],
         fill: Callable[[str], Column],

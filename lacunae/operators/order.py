@@ -24,6 +24,7 @@ COLLECT_LIMIT = 20_000
 SMALL_COLUMN = 1_000_000
 BUCKET_ROWS = 250_000
 MAX_BUCKETS = 20_000
+SAMPLE_PER_CUT = 40
 BROADCAST_ROWS = 100_000
 
 
@@ -222,18 +223,14 @@ def smallest(
 def order_buckets(df: DataFrame, by: Sequence[str], n: int, bucket_rows: int) -> DataFrame:
     """Add `_b`: bucket numbers that ascend with the order of `by`.
 
-    Bounds come from approximate quantiles of the first column. A value that
+    Bounds come from a bounded sample of the first column. A value that
     fills several quantiles on its own is split further by the second column,
     so one hot value does not make one hot bucket.
     """
     parts = min(MAX_BUCKETS, math.ceil(n / bucket_rows))
     if parts <= 1:
         return df.withColumn("_b", F.lit(0).cast("long"))
-    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = df.agg(*[
-        F.percentile_approx(
-            F.col(c).cast("double"), probs, F.lit(max(10_000, 20 * parts))).alias(f"q{i}")
-        for i, c in enumerate(by[:2])]).first()
+    cuts = _sampled_cuts(df, by[:2], n, parts)
     edges = sorted(set(cuts["q0"]))
     repeats = {i: cuts["q0"].count(e) for i, e in enumerate(edges) if cuts["q0"].count(e) > 1}
     out = _bucket(df, by[0], edges, "_i")
@@ -251,6 +248,22 @@ def order_buckets(df: DataFrame, by: Sequence[str], n: int, bucket_rows: int) ->
     return out.drop("_i", "_k")
 
 
+def _sampled_cuts(df: DataFrame, columns: Sequence[str], n: int, parts: int) -> dict[str, list[float]]:
+    """parts - 1 cuts per column from about SAMPLE_PER_CUT sampled rows a part, sorted on the driver.
+
+    At most SAMPLE_PER_CUT * MAX_BUCKETS rows are collected, whatever the size of the table, and no
+    task sees more than its own rows. Cuts only decide how even the buckets are.
+    """
+    share = min(1.0, 1.2 * SAMPLE_PER_CUT * parts / n)
+    rows = df.select(*[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(columns)]).sample(
+        fraction=share, seed=1).collect()
+    out = {}
+    for i in range(len(columns)):
+        values = sorted(r[i] for r in rows if r[i] is not None)
+        out[f"q{i}"] = [values[(k * len(values)) // parts] for k in range(1, parts)] if values else []
+    return out
+
+
 def _bucket(df: DataFrame, column: str, edges: list[float], name: str) -> DataFrame:
     splits = [-math.inf, *edges, math.inf]
     staged = df.withColumn("_x", F.col(column).cast("double"))

@@ -19,10 +19,14 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+# A cast alone would take number literals of programming languages, such as 12d, 7F and 0x1p3.
+DECIMAL = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)$"
+
+
 def text_number(col: Column) -> Column:
-    """Trimmed text as a number; anything else, the empty text and NaN are null."""
-    v = F.trim(col).try_cast("double")
-    return F.when(F.isnan(v), F.lit(None)).otherwise(v)
+    """Trimmed text as a decimal number; anything else, the empty text and NaN are null."""
+    text = F.trim(col)
+    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
 
 
 def numeric_share(df: DataFrame, exclude: Sequence[str] = ()) -> dict[str, float]:

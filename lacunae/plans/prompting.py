@@ -155,12 +155,14 @@ def fill_matrix(
 
 def impute_by_matrix(
     full: DataFrame, holed: DataFrame, keys: Sequence[str], target: str, columns: Sequence[str],
-    scorer: Scorer, dataset: str, n_rows: int | None = 40, n_folds: int = 1,
-    fold_prompt_rows: int | None = 25, batch_row: int = 40, min_batch_row: int = 1,
+    scorer: Scorer, dataset: str, n_rows: int | None = None, n_folds: int = 1,
+    fold_prompt_rows: int | None = None, batch_row: int = 40, min_batch_row: int = 1,
     factors: Sequence[str] | None = None, retry_scorer: Scorer | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(detail rows, summary) of a model that completes whole tables.
 
+    All rows take part unless `n_rows` asks for the first ones, and a prompt shows all rows of a
+    fold unless `fold_prompt_rows` sets a budget.
     With several folds, only the holes of one fold are open at a time, the others
     show the truth, and the prompt keeps the rows nearest to the open ones.
     """

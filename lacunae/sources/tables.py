@@ -22,11 +22,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header (declared schema, else all text) or Parquet."""
-    if path.rstrip("/").endswith(".parquet"):
+def read_table(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
+               multi_line: bool = False) -> DataFrame:
+    """CSV with a header (declared schema, else all text) or Parquet.
+
+    With `multi_line` quoted cells may hold line feeds; then a file is one task, whatever its size.
+    """
+    if isinstance(path, str) and path.rstrip("/").endswith(".parquet"):
         return nan_to_null(spark.read.parquet(path))
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     return nan_to_null((reader.schema(schema) if schema else reader).csv(path))
 
 

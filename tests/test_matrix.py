@@ -31,9 +31,9 @@ def test_quoted_separators(spark):
 
 
 def test_errors(spark):
-    assert _parse(spark, "")[1] == "Empty model output. Expected shape: (2, 2)"
-    assert _parse(spark, None)[1].startswith("Empty model output")
-    assert "single-column" in _parse(spark, "a\n1\n2")[1]
+    assert _parse(spark, "")[1] == "empty answer, expected 2 x 2 cells"
+    assert _parse(spark, None)[1].startswith("empty answer")
+    assert "single column" in _parse(spark, "a\n1\n2")[1]
     assert "Could not align output columns. Expected 2 cols, got 4." == _parse(
         spark, "w,x,y,z\n1,2,3,4\n5,6,7,8")[1]
     assert "fewer rows than expected (1 < 3)" in _parse(spark, "a,b\n1,x", 2 + 1)[1] or \
