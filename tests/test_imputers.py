@@ -206,3 +206,19 @@ def test_stream_gives_the_batch_result(spark, numbers, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(got.collect()) == sorted(model.transform(holed).collect())
+
+
+@pytest.mark.parametrize("kinds", [150, 3000])
+def test_forest_on_many_categories(spark, kinds):
+    """More classes than the forest's own limit of 100, as literals and as a joined table."""
+    rows = [(i, float(i % kinds), f"c{i % kinds:05d}" if i % 17 else None) for i in range(2 * kinds)]
+    df = spark.createDataFrame(rows, "k long, x double, label string")
+    out = MissForest(["k"], n_estimators=2, max_depth=3).fit_transform(df)
+    assert out.where("label is null").count() == 0
+    assert out.select("label").distinct().count() <= kinds
+
+
+def test_posterior_draws_need_keys(numbers):
+    holed = inject.mcar_column(numbers.select("k", "x", "y"), 0.1, "y", ["k"]).drop("k")
+    with pytest.raises(ValueError):
+        Mice(sample_posterior=True).fit_transform(holed)

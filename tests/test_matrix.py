@@ -132,3 +132,11 @@ def test_matrix_run_falls_back(numbers):
     assert {r["source"] for r in got} == {"fallback_product"}
     with pytest.raises(ValueError):
         impute_by_matrix(full, full, ["k"], "y", ["x", "y"], lambda ps: ps, "Demo")
+
+
+def test_all_rows_by_default_and_first_answers_are_no_fallback(numbers):
+    full = numbers.where("k < 60").select("k", "y")
+    holed = inject.mcar_column(full, 0.25, "y", ["k"])
+    detail, summary = impute_by_matrix(full, holed, ["k"], "y", ["k", "y"], _fills(2), "Demo", batch_row=16)
+    assert detail.count() == holed.where("y is null").count()
+    assert summary.first()["fallback_rate"] == 0.0

@@ -95,3 +95,10 @@ def test_codes(spark):
         df.where("t != 'z'"), "t"), 2, "label")
     assert sorted((r["v"], r["label"]) for r in found.collect()) == [
         (-3.0, "a"), (0.4, "a"), (0.5, "a"), (1.5, "b"), (9.0, "b")]
+
+
+def test_codes_are_no_numbers(spark):
+    texts = ["12d", "7F", "0x1p3", "1_000", "12", " -3.5e2 ", ".5", "5.", "inf", "NaN", "", "1e", "٣"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(profile.text_number(F.col("t"))).collect()]
+    assert got == [None, None, None, None, 12.0, -350.0, 0.5, 5.0, float("inf"), None, None, None, None]
