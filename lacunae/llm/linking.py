@@ -1,16 +1,19 @@
 """From hash buckets to connected components, with DataFrame operations only.
 
 `components` is a distributed union-find by large and small stars. `link_buckets` tests every pair of
-a bucket whose ends are not connected anyway: first all members against the smallest, later members of
-the smallest components against all others, and the last few pairs at once. A bucket of many similar
-members so costs a test per member, not per pair, and no link is lost.
+a bucket whose ends are not connected anyway: first all members against the one with most neighbours, later a
+fixed number of members of the smallest components against all others, and the rest at once when that is no
+more than `pairs_per_row` pairs a row. Members of a component are never paired, so a bucket of many similar
+members costs a test per member, not per pair. Before a pair leaves the join, short sketches rule out
+what is far from similar.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -45,48 +48,78 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def differing(words: int) -> Column:
+    """How many of the 16 four-bit values in each 64-bit word differ between sketches s* and q*."""
+    total = F.lit(0)
+    for i in range(words):
+        x = F.col(f"s{i}").bitwiseXOR(F.col(f"q{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_differing(values: int, similarity: float) -> int:
+    """Values that may differ in sketches of a pair at `similarity`: 4.5 standard deviations below it."""
+    least = max(0.0, similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / values))
+    return math.ceil(values * (1 - least) * 15 / 16)
+
+
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                 pairs_per_row: int = 4) -> DataFrame:
+                 sketches: DataFrame | None = None, words: int = 0, most: int = 0,
+                 pairs_per_row: int = 1024) -> DataFrame:
     """Components of the links that `verify` confirms among pairs (a, b) in a bucket.
 
-    `buckets` has rows (bucket, id). Pairs are passed to `verify` without repeats.
+    `buckets` has rows (bucket, id). Pairs are passed to `verify` without repeats. With `sketches`
+    (id, sketch: `words` 64-bit words of 16 four-bit values), only pairs that differ in `most`
+    values at most are passed on.
     """
-    sizes = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
-    members = stored(buckets.join(sizes.where("lead < last"), "bucket").select(
-        "bucket", "id", "lead").distinct(), "buckets")
-    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(buckets.distinct().join(sizes, "bucket"), "buckets")
+    # The member that shares most places with others is the likeliest centre of a group of copies.
+    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    leads = members.join(weights, "id").groupBy("bucket").agg(
+        F.max_by("id", F.struct("weight", "id")).alias("lead"))
+    members = stored(members.join(leads, "bucket").select("bucket", "id", "lead"), "members")
+    members = members.where("id <> lead")
+    pairs = members.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     links = stored(verify(pairs.distinct()), "links")
     found = components(links)
-    members = members.where("id <> lead").drop("lead")  # the lead has met all others
+    members = members.drop("lead")  # the lead has met all others
     while True:
         known = found.select(F.col("node").alias("id"), "component")
         placed = members.join(known, "id", "left").select(
             "bucket", "id", F.coalesce("component", "id").alias("part"))
-        parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
         mixed = parts.groupBy("bucket").agg(
             F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("within"),
-            F.max_by("part", F.struct("n", "part")).alias("main"),
-            F.min_by("first", F.struct("n", "part")).alias("pivot"), F.count("*").alias("parts"))
-        mixed = mixed.where("parts > 1")
-        left = stored(placed.join(mixed, "bucket"), "mixed")
-        cross, rows = left.groupBy("bucket").agg(
-            F.first((F.col("rows") * F.col("rows") - F.col("within")) / 2).alias("c"),
-            F.first("rows").alias("n")).agg(F.sum("c"), F.sum("n")).first()
+            F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+        mixed = stored(mixed.where("parts > 1"), "mixed")
+        cross, rows = mixed.agg(
+            F.sum((F.col("rows") * F.col("rows") - F.col("within")) / 2), F.sum("rows")).first()
         if not rows:
             return found
+        left = placed.join(mixed.select("bucket", "main"), "bucket").join(parts, ["bucket", "part"])
+        if sketches is not None:
+            left = left.join(sketches.select("id", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)]), "id")
+        left = stored(left, "left")
         last = cross <= pairs_per_row * rows
         if last:
             # One end lies outside the main part, so a large part is never paired with itself.
-            side = left.where("part <> main").select("bucket", F.col("id").alias("x"), F.col("part").alias("p"))
-            pairs = left.join(side, "bucket").where(
-                (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("id") < F.col("x"))))
-            pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+            side = left.where("part <> main")
         else:
-            pivots = left.where("id = pivot").select("bucket", F.col("part").alias("p"))
-            pairs = left.join(pivots, "bucket").where("part <> p").select(
-                F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            order = Window.partitionBy("bucket").orderBy("n", "part", "id")
+            side = left.withColumn("place", F.row_number().over(order)).where(
+                F.col("place") <= max(1, pairs_per_row))
+        side = side.select(F.col("bucket").alias("other"), F.col("id").alias("x"), F.col("part").alias("p"),
+                           *[F.col(f"s{i}").alias(f"q{i}") for i in range(words)])
+        meet = (F.col("bucket") == F.col("other")) & (F.col("part") != F.col("p"))
+        if sketches is not None:
+            meet = meet & (differing(words) <= most)
+        pairs = left.join(side, meet).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         links = stored(links.unionByName(verify(pairs.distinct())), "links")
         found = components(links)
         if last:
             return found
-        members = left.where("id <> pivot").select("bucket", "id")
+        gone = side.select(F.col("other").alias("bucket"), F.col("x").alias("id"))
+        members = left.select("bucket", "id").join(gone, ["bucket", "id"], "left_anti")
