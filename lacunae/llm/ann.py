@@ -3,8 +3,8 @@
 Inner products become distances by one more coordinate that gives all vectors of a block the length of
 its longest one. A block of vectors has, for each of `projections` random directions, its vectors
 sorted by projection. A query opens a window around its own projection in every array; vectors inside
-collide with it. The windows of a query grow by the factor `growth` (virtual rehashing: only what is new
-in a window is counted), and each vector that collides in a share `threshold` of all arrays is
+collide with it. The windows of a query grow by the factor `growth` (virtual rehashing: the arrays stay, only
+the ends of the windows move), and each vector that collides in a share `threshold` of all arrays is
 verified by its inner product. A query is done when `verify_share` of the block and `k` more are verified, or
 when `k` verified vectors are nearer than `growth` times the radius, which is the window's width by `WIDTH`.
 
@@ -30,6 +30,8 @@ class CollisionIndex:
     """Sorted projections of a block of vectors."""
 
     def __init__(self, vectors: np.ndarray, projections: int, seed: int = 1):
+        if len(vectors) >= 1 << 16:
+            raise ValueError("a block holds fewer than 65,536 vectors")
         lengths = np.sqrt((vectors * vectors).sum(1))
         self.vectors = vectors
         scaled = vectors / lengths.max()
@@ -38,10 +40,12 @@ class CollisionIndex:
         values = scaled @ self.directions[:-1] + rest[:, None] * self.directions[-1]
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(values, self.order.T, 0).T.copy()
+        self.ranks = np.empty(self.order.shape, np.uint16)  # place of each vector in each array
+        np.put_along_axis(self.ranks, self.order, np.arange(len(vectors), dtype=np.uint16)[None, :], 1)
         self.longest = lengths.max()
 
     def search(self, queries: np.ndarray, k: int, threshold: float = 0.75, verify_share: float = 0.12,
-               growth: float = 1.25, first_width: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+               growth: float = 1.25, first_width: float = 1.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, inner product) of all verified vectors among the best `k` of each query."""
         found = [], [], []
         for start in range(0, len(queries), 64):
@@ -55,28 +59,23 @@ class CollisionIndex:
         n, m = len(self.vectors), len(self.order)
         units = queries / np.sqrt((queries * queries).sum(1))[:, None]
         centres = units @ self.directions[:-1]
-        counts = np.zeros((len(queries), n), np.int16)
-        flat = counts.reshape(-1)
         least = max(1, int(threshold * m))
         enough = min(n, k + int(verify_share * n))
-        low = np.stack([np.searchsorted(self.values[j], centres[:, j]) for j in range(m)])
-        high = low.copy()
         scores = np.full((len(queries), n), -np.inf)
         live = np.arange(len(queries))
         while len(live):
+            # A window is a range of places, so a vector collides where its place lies in the range.
+            counts = np.zeros((len(live), n), np.uint8 if m < 256 else np.uint16)
             for j in range(m):
-                half = width / 2
-                new_low = np.searchsorted(self.values[j], centres[live, j] - half)
-                new_high = np.searchsorted(self.values[j], centres[live, j] + half, side="right")
-                for a, b in ((new_low, low[j, live]), (high[j, live], new_high)):
-                    size = np.maximum(b - a, 0)
-                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-                    flat[np.repeat(live * n, size) + self.order[j, at]] += 1
-                low[j, live] = np.minimum(low[j, live], new_low)
-                high[j, live] = np.maximum(high[j, live], new_high)
+                low = np.searchsorted(self.values[j], centres[live, j] - width / 2)
+                high = np.searchsorted(self.values[j], centres[live, j] + width / 2, side="right")
+                inside = (self.ranks[j][None, :] - low.astype(np.uint16)[:, None]) < (
+                    high - low).astype(np.uint16)[:, None]
+                counts += inside.view(np.uint8)
+            collide = counts >= least
             open_queries = []
-            for q in live.tolist():
-                chosen = np.flatnonzero((counts[q] >= least) & (scores[q] == -np.inf))
+            for row, q in enumerate(live.tolist()):
+                chosen = np.flatnonzero(collide[row] & (scores[q] == -np.inf))
                 scores[q, chosen] = self.vectors[chosen] @ queries[q]
                 verified = scores[q] > -np.inf
                 done = int(verified.sum())
