@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write to the shared scratch folder in buckets of `key`: joins on it need no shuffle of this side."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"scratch_{path.rsplit('-', 1)[-1]}"
+    df.write.bucketBy(shuffle_tasks(spark), key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -33,3 +44,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str,
         step = max(1, int(batch.num_rows * max_bytes / size))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+        pa.default_memory_pool().release_unused()
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """An object that later tasks of the same Python worker find again, such as a loaded vocabulary.
+
+    The functions of this library reach a worker anew with each task, and so would their globals.
+    """
+    store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

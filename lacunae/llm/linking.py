@@ -49,20 +49,19 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
 
 
 def differing(words: int) -> Column:
-    """How many of the 16 four-bit values in each 64-bit word differ between sketches s* and q*."""
+    """How many of the 32 two-bit values in each 64-bit word differ between sketches s* and q*."""
     total = F.lit(0)
     for i in range(words):
         x = F.col(f"s{i}").bitwiseXOR(F.col(f"q{i}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x5555555555555555)))
     return total
 
 
 def most_differing(values: int, similarity: float) -> int:
-    """Values that may differ in sketches of a pair at `similarity`: 4.5 standard deviations below it."""
-    least = max(0.0, similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / values))
-    return math.ceil(values * (1 - least) * 15 / 16)
+    """Values that may differ in sketches of a pair at `similarity`: 4 standard deviations more than its mean."""
+    mean = 0.75 * (1 - similarity)
+    return math.ceil(values * mean + 4 * math.sqrt(values * mean * (1 - mean)))
 
 
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
@@ -71,7 +70,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     """Components of the links that `verify` confirms among pairs (a, b) in a bucket.
 
     `buckets` has rows (bucket, id). Pairs are passed to `verify` without repeats. With `sketches`
-    (id, sketch: `words` 64-bit words of 16 four-bit values), only pairs that differ in `most`
+    (id, sketch: `words` 64-bit words of 32 two-bit values), only pairs that differ in `most`
     values at most are passed on.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -83,9 +82,13 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     members = stored(members.join(leads, "bucket").select("bucket", "id", "lead"), "members")
     members = members.where("id <> lead")
     pairs = members.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    links = stored(verify(pairs.distinct()), "links")
+    pairs = stored(pairs.distinct(), "pairs")
+    links = stored(verify(pairs), "links")
     found = components(links)
-    members = members.drop("lead")  # the lead has met all others
+    # From here on the buckets that share members are one, so that no pair is met once per bucket.
+    both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    members = both.join(components(pairs).withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("bucket"))
     while True:
         known = found.select(F.col("node").alias("id"), "component")
         placed = members.join(known, "id", "left").select(
@@ -114,6 +117,8 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
         side = side.select(F.col("bucket").alias("other"), F.col("id").alias("x"), F.col("part").alias("p"),
                            *[F.col(f"s{i}").alias(f"q{i}") for i in range(words)])
         meet = (F.col("bucket") == F.col("other")) & (F.col("part") != F.col("p"))
+        if last:
+            meet = meet & ((F.col("part") == F.col("main")) | (F.col("id") < F.col("x")))
         if sketches is not None:
             meet = meet & (differing(words) <= most)
         pairs = left.join(side, meet).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))

@@ -33,7 +33,7 @@ THRESHOLDS = np.arange(1, 9)
 TOP = 4
 FLOOR = -12
 SAMPLE_BYTES = 48 << 20
-MAX_KNOWN = 300_000
+MAX_KNOWN = 200_000
 
 
 def windows(text: str | None) -> list[bytes]:
