@@ -230,7 +230,7 @@ def order_buckets(df: DataFrame, by: Sequence[str], n: int, bucket_rows: int) ->
     parts = min(MAX_BUCKETS, math.ceil(n / bucket_rows))
     if parts <= 1:
         return df.withColumn("_b", F.lit(0).cast("long"))
-    cuts = _sampled_cuts(df, by[:2], n, parts)
+    cuts = sampled_cuts(df, by[:2], n, parts)
     edges = sorted(set(cuts["q0"]))
     repeats = {i: cuts["q0"].count(e) for i, e in enumerate(edges) if cuts["q0"].count(e) > 1}
     out = _bucket(df, by[0], edges, "_i")
@@ -248,7 +248,7 @@ def order_buckets(df: DataFrame, by: Sequence[str], n: int, bucket_rows: int) ->
     return out.drop("_i", "_k")
 
 
-def _sampled_cuts(df: DataFrame, columns: Sequence[str], n: int, parts: int) -> dict[str, list[float]]:
+def sampled_cuts(df: DataFrame, columns: Sequence[str], n: int, parts: int) -> dict[str, list[float]]:
     """parts - 1 cuts per column from about SAMPLE_PER_CUT sampled rows a part, sorted on the driver.
 
     At most SAMPLE_PER_CUT * MAX_BUCKETS rows are collected, whatever the size of the table, and no

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .order import number
+from .order import number, sampled_cuts
 from .profile import numeric_columns, numeric_scales
 
 MAX_CELLS = 2048
@@ -64,10 +64,8 @@ def _with_cells(
     binned = [c for c in columns if c in numeric and bins > 1]
     out = reference
     if binned:
-        probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-        row = reference.agg(*[
-            F.percentile_approx(number(c), probs, F.lit(100_000)).alias(f"q{i}")
-            for i, c in enumerate(binned)]).first()
+        numbers = reference.select(*[number(c).alias(c) for c in binned])
+        row = sampled_cuts(numbers, binned, max(1, reference.count()), bins)
         for i, c in enumerate(binned):
             edges = sorted(set(row[f"q{i}"] or [0.0]))
             out = out.withColumn(f"_v_{c}", number(c))
