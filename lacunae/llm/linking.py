@@ -66,12 +66,12 @@ def most_differing(values: int, similarity: float) -> int:
 
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
                  sketches: DataFrame | None = None, words: int = 0, most: int = 0,
-                 pairs_per_row: int = 1024) -> DataFrame:
+                 percent: int = 0, pairs_per_row: int = 1024) -> DataFrame:
     """Components of the links that `verify` confirms among pairs (a, b) in a bucket.
 
     `buckets` has rows (bucket, id). Pairs are passed to `verify` without repeats. With `sketches`
-    (id, sketch: `words` 64-bit words of 32 two-bit values), only pairs that differ in `most`
-    values at most are passed on.
+    (id, size of its set, sketch: `words` 64-bit words of 32 two-bit values), only pairs that differ in
+    `most` values at most, and whose smaller set has `percent` of the larger, are passed on.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(buckets.distinct().join(sizes, "bucket"), "buckets")
@@ -104,7 +104,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
             return found
         left = placed.join(mixed.select("bucket", "main"), "bucket").join(parts, ["bucket", "part"])
         if sketches is not None:
-            left = left.join(sketches.select("id", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)]), "id")
+            left = left.join(sketches.select("id", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)]), "id")
         left = stored(left, "left")
         last = cross <= pairs_per_row * rows
         if last:
@@ -115,11 +115,13 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
             side = left.withColumn("place", F.row_number().over(order)).where(
                 F.col("place") <= max(1, pairs_per_row))
         side = side.select(F.col("bucket").alias("other"), F.col("id").alias("x"), F.col("part").alias("p"),
+                           *([F.col("size").alias("other_size")] if words else []),
                            *[F.col(f"s{i}").alias(f"q{i}") for i in range(words)])
         meet = (F.col("bucket") == F.col("other")) & (F.col("part") != F.col("p"))
         if last:
             meet = meet & ((F.col("part") == F.col("main")) | (F.col("id") < F.col("x")))
         if sketches is not None:
+            meet = meet & (F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent)
             meet = meet & (differing(words) <= most)
         pairs = left.join(side, meet).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
         links = stored(links.unionByName(verify(pairs.distinct())), "links")

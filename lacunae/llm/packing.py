@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import kept, slices, stored
 
 Pattern = tuple[tuple[int, ...], int]
-MAX_KNOWN = 600_000
+KNOWN = 1_600_000
 RANK_ROWS = 100_000
 
 
@@ -57,6 +57,7 @@ class ChunkEncoder:
                         for t in added))
         self.special = [t["content"] for t in added]
         self.known: dict[str, bytes] = {}
+        self.most_known = KNOWN
         self.double = re.compile(r"\s\s")
         self.space = re.compile(r"(?<=\S) (?=\S)")
         self.blank = re.compile(r"\s")
@@ -72,9 +73,11 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Ids of new chunks; those without white space are encoded in rows and cut at their spaces."""
-        plain = [c for c in chunks if c and not self.blank.search(c)]
+        plain: list[str] = []
+        odd: list[str] = []
+        for c in chunks:
+            (odd if not c or self.blank.search(c) else plain).append(c)
         rows = [plain[i:i + 200] for i in range(0, len(plain), 200)]
-        odd = [c for c in chunks if not c or self.blank.search(c)]
         for row, ids in zip(rows, self._encode([" " + " ".join(row) for row in rows]), strict=True):
             cuts = (4 * np.flatnonzero(self.opens[np.frombuffer(ids, np.uint32)])).tolist()
             if len(cuts) == len(row):
@@ -89,30 +92,40 @@ class ChunkEncoder:
         parts = [self.space.split(t) if self.double.search(t) else t.split(" ") for t in texts]
         whole = [any(s in t for s in self.special) for t in texts]
         known = self.known
-        if len(known) > MAX_KNOWN:
+        if len(known) > self.most_known:
             known.clear()
         new: set[str] = set()
-        for p, w in zip(parts, whole, strict=True):
+        heads: set[str] = set()
+        for t, p, w in zip(texts, parts, whole, strict=True):
+            heads.add(t if w else p[0])
             if not w:
-                new.update(p[1:])
+                new.update(p)
         self._learn([c for c in new if c not in known])
-        heads = iter(list(self._encode([t if w else p[0] for t, p, w in
-                                        zip(texts, parts, whole, strict=True)])))
+        first = list(heads)
+        opened = dict(zip(first, self._encode(first), strict=True))
         get = known.__getitem__
-        return [next(heads) if w else b"".join(itertools.chain((next(heads),), map(get, p[1:])))
-                for p, w in zip(parts, whole, strict=True)]
+        out = []
+        for t, p, w in zip(texts, parts, whole, strict=True):
+            if w:
+                out.append(opened[t])
+            else:
+                chunks = iter(p)
+                out.append(opened[next(chunks)] + b"".join(map(get, chunks)))
+        return out
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
               with_ids: bool = False, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
+              text_col: str = "text", cached_chunks: int = KNOWN) -> DataFrame:
     """Pieces of at most `capacity` tokens: id, piece, start, length, ids_crc32 (and ids, on demand).
 
     A document is its ids and `end_id`; one that is too long is cut from the end into full pieces, so
-    only its first piece may be shorter. A null text counts as empty: the end id alone.
+    only its first piece may be shorter. A null text counts as empty: the end id alone. A Python
+    worker keeps the ids of about `cached_chunks` chunks of text (some 200 bytes each) for its next tasks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ChunkEncoder(tokenizer_path)
+        encode = kept(f"ids {tokenizer_path}", lambda: ChunkEncoder(tokenizer_path))
+        encode.most_known = cached_chunks
         end = array("I", [end_id]).tobytes()
         for batch in slices(batches, text_col, 4 << 20):
             rows, number, start, length, crc, body = [], [], [], [], [], []
@@ -399,12 +412,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, nodes: int = 4_000,
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0,
                    nodes: int = 4_000, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", cached_chunks: int = KNOWN) -> DataFrame:
     """Tokenise, cut and pack whole documents; one row per piece.
 
     * A null text counts as empty (the end id alone). A null id stays null; rows that repeat an id or a
       text are packed each by itself. An empty table gives an empty result.
     * The special strings of the vocabulary become their ids, as the library does by default.
     """
-    pieces = tokenised(docs, tokenizer_path, capacity, end_id, False, id_col, text_col)
+    pieces = tokenised(docs, tokenizer_path, capacity, end_id, False, id_col, text_col, cached_chunks)
     return pack(stored(pieces, "pieces"), capacity, nodes)
