@@ -6,7 +6,8 @@ sorted by projection. A query opens a window around its own projection in every
 collide with it. The windows of a query grow by the factor `growth` (virtual rehashing: the arrays stay, only
 the ends of the windows move), and each vector that collides in a share `threshold` of all arrays is
 verified by its inner product. A query is done when `verify_share` of the block and `k` more are verified, or
-when `k` verified vectors are nearer than `growth` times the radius, which is the window's width by `WIDTH`.
+when `k` verified vectors are within the radius, which is the window's width by `WIDTH`: up to there nearly every
+vector collides in enough arrays, beyond it many don't, so a k-th neighbour farther out may hide nearer ones.
 
 Equal vectors are searched once. Vectors and queries are dealt into blocks of bounded size, and every
 block of queries meets every block of vectors, so no task holds more than two blocks.
@@ -85,7 +86,7 @@ class CollisionIndex:
                     # k-th best distance after scaling, against the radius reached
                     kth = np.partition(scores[q][verified], -k)[-k]
                     length = np.sqrt(queries[q] @ queries[q]) * self.longest
-                    if np.sqrt(max(0.0, 2 - 2 * kth / length)) <= growth * width / WIDTH:
+                    if np.sqrt(max(0.0, 2 - 2 * kth / length)) <= width / WIDTH:
                         continue
                 if done < n:
                     open_queries.append(q)

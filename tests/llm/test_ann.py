@@ -75,3 +75,17 @@ def test_windows_only_verify_a_part():
     best = np.sort(data[:20] @ data.T, axis=1)[:, ::-1][:, :10]
     got = [np.sort(score[q == i])[::-1][:10] for i in range(20)]
     assert np.mean([np.isin(np.round(b, 9), np.round(g, 9)).mean() for b, g in zip(best, got)]) > 0.9
+
+
+@pytest.mark.parametrize("dims,cosine", [(256, 0.74), (256, 0.6), (256, 0.76), (64, 0.7), (32, 0.5)])
+def test_recall_in_clusters(dims, cosine):
+    """Many neighbours at nearly the same distance, just beyond the radius of a window."""
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((64, dims))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    data = np.sqrt(cosine) * centres[np.arange(8192) % 64] + np.sqrt((1 - cosine) / dims) * rng.standard_normal(
+        (8192, dims))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    q, at, _ = CollisionIndex(data, 128).search(data[:52], 21)
+    best = np.argsort(-(data[:52] @ data.T), axis=1)[:, :21]
+    assert np.mean([np.isin(best[i], at[q == i]).mean() for i in range(52)]) >= 0.9
