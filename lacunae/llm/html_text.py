@@ -1,13 +1,16 @@
 """Visible text of web pages, laid out by blocks, lists and tables.
 
-A tokenizer and a tree builder with implied tags make a tree of at most `MAX_DEPTH` levels; a renderer
-walks it, leaves out what is not displayed, and keeps block spacing, list marks and table columns.
+A tokenizer and a tree builder with implied tags make a tree of any depth; a renderer walks it, leaves
+out what is not displayed, and keeps block spacing, list marks and table columns. The parts of the renderer
+are generators that yield the parts inside them, and `run_parts` keeps those on a stack of its own.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +18,6 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-MAX_DEPTH = 256
-
 # ---- fixed values of the HTML standard ----
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -43,6 +44,7 @@ IMPLIED_END = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 SCOPE = set("table td th caption button object template html".split())
+UNSHIELDED = SCOPE | set("tr tbody thead tfoot body".split())  # their end tags reach through elements of SCOPE
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?
@@ -66,20 +68,26 @@ def build(source: str) -> Node:
     """Tree of a page; every text of the page is somewhere in it."""
     root = Node("html")
     open_nodes = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements below the root, by tag
+
+    def open_node(node: Node) -> None:
+        places[node.tag].append(len(open_nodes))
+        open_nodes.append(node)
 
     def close(upto: int) -> None:
-        del open_nodes[max(1, upto):]
+        while len(open_nodes) > max(1, upto):
+            places[open_nodes.pop().tag].pop()
+
+    def last(tags: set[str]) -> int:
+        """Place of the innermost open element of `tags`, or 0."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close_implied(tags: set[str], stops: set[str]) -> None:
         """Close the outermost of `tags` that no element of `stops` shields."""
-        upto = None
-        for i in range(len(open_nodes) - 1, 0, -1):
-            if open_nodes[i].tag in stops:
-                break
-            if open_nodes[i].tag in tags:
-                upto = i
-        if upto:
-            close(upto)
+        stop = last(stops)
+        found = [places[t][bisect_right(places[t], stop)] for t in tags if places.get(t) and places[t][-1] > stop]
+        if found:
+            close(min(found))
 
     def add_text(text: str) -> None:
         if not text:
@@ -100,32 +108,26 @@ def build(source: str) -> Node:
         if not tag:
             continue
         if found["end"] or found["end2"]:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == tag or tag in HEADINGS and open_nodes[i].tag in HEADINGS:
-                    close(i)
-                    break
-                if open_nodes[i].tag in SCOPE and tag not in SCOPE | {"tr", "tbody", "thead", "tfoot", "body"}:
-                    break
+            start = last(HEADINGS if tag in HEADINGS else {tag})
+            if start and (tag in UNSHIELDED or start > last(SCOPE)):
+                close(start)
             continue
         raw = found["attrs"] if found["tag"] else found["attrs2"]
         attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(raw)} if raw else {}
-        if any(n.tag == "head" for n in open_nodes) and tag not in HEAD_ONLY | {"head"}:
-            close(next(i for i, n in enumerate(open_nodes) if n.tag == "head"))
+        if places.get("head") and tag not in HEAD_ONLY and tag != "head":
+            close(places["head"][0])
         if tag in ("html", "body"):  # the element is there already, or its parts are
-            if tag == "body" and not any(n.tag == "body" for n in open_nodes):
+            if tag == "body" and not places.get("body"):
                 node = Node(tag, attrs)
                 open_nodes[-1].children.append(node)
-                open_nodes.append(node)
+                open_node(node)
             continue
         if tag in IMPLIED_END:
             close_implied(*IMPLIED_END[tag])
         if tag in ENDS_P:
-            for i in range(len(open_nodes) - 1, 0, -1):
-                if open_nodes[i].tag == "p":
-                    close(i)
-                    break
-                if open_nodes[i].tag in SCOPE:
-                    break
+            start = last({"p"})
+            if start > last(SCOPE):
+                close(start)
         if tag in HEADINGS and open_nodes[-1].tag in HEADINGS:
             close(len(open_nodes) - 1)
         node = Node(tag, attrs)
@@ -139,8 +141,7 @@ def build(source: str) -> Node:
             at = source.find(">", end.start()) + 1 if end else len(source)
             at = at or len(source)
             continue
-        if len(open_nodes) < MAX_DEPTH:  # deeper elements hold nothing; their texts go to the last level
-            open_nodes.append(node)
+        open_node(node)
     return root
 
 
@@ -159,7 +160,7 @@ class Page:
         self.parts: list[str] = []
         self.space = False
         self.gap = False
-        self.first, self.indent = "", ""
+        self.mark, self.indent = "", 0  # the mark stands at the end of the indent of the next line
 
     def text(self, text: str) -> None:
         words = SPACES.sub(" ", text)
@@ -178,8 +179,9 @@ class Page:
                 self.lines.append("")
             self.gap = False
             line = "".join(self.parts)
-            self.lines.append((self.first + line).rstrip() if line or self.first.strip() else "")
-            self.first = self.indent
+            first = " " * (self.indent - len(self.mark)) + self.mark
+            self.lines.append((first + line).rstrip() if line or self.mark else "")
+            self.mark = ""
             self.parts = []
         self.space = False
 
@@ -194,7 +196,18 @@ class Page:
         self.gap = self.gap or spaced
 
 
-def render(node: Node, page: Page) -> None:
+def run_parts(part: Iterator) -> None:
+    """Run a part of the renderer and all that it yields, at any depth."""
+    stack = [part]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def render(node: Node, page: Page) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
             page.text(child)
@@ -214,31 +227,32 @@ def render(node: Node, page: Page) -> None:
                     mark = f"{number}. " if tag == "ol" else "- "
                     number += 1
                     page.end_line()
-                    before = page.first, page.indent
-                    page.first, page.indent = page.indent + mark, page.indent + " " * len(mark)
-                    render(item, page)
+                    before = page.indent
+                    page.mark, page.indent = mark, page.indent + len(mark)
+                    yield render(item, page)
                     page.end_line()
-                    page.first, page.indent = before[1], before[1]
+                    page.mark, page.indent = "", before
                 elif isinstance(item, Node):
                     holder = Node("div")
                     holder.children = [item]
-                    render(holder, page)
+                    yield render(holder, page)
                 else:
                     page.text(item)
             page.block(not page.indent)
         elif tag == "table":
             page.block(True)
-            table(child, page)
+            yield table(child, page)
             page.block(True)
         elif tag in ("pre", "textarea", "xmp", "listing"):
             page.block(True)
-            page.add_lines(plain(child).strip("\n").split("\n") if plain(child).strip() else [])
+            text = plain(child)
+            page.add_lines(text.strip("\n").split("\n") if text.strip() else [])
             page.block(True)
         elif tag == "details" and "open" not in child.attrs:
             page.block(False)
             for part in child.children:
                 if isinstance(part, Node) and part.tag == "summary" and shown(part):
-                    render(part, page)
+                    yield render(part, page)
                     page.block(False)
                     break
         elif tag == "input":
@@ -246,32 +260,34 @@ def render(node: Node, page: Page) -> None:
                 page.text(f" {child.attrs.get('value', '')} ")
         elif tag == "q":
             page.text('"')
-            render(child, page)
+            yield render(child, page)
             page.text('"')
         elif tag in BLOCK:
             page.block(tag in SPACED)
             if tag in ("blockquote", "dd"):
-                before = page.first, page.indent
-                page.first = page.indent = page.indent + "  "
-                render(child, page)
+                before = page.indent
+                page.mark, page.indent = "", page.indent + 2
+                yield render(child, page)
                 page.end_line()
-                page.first, page.indent = before[1], before[1]
+                page.mark, page.indent = "", before
             else:
-                render(child, page)
+                yield render(child, page)
             page.block(tag in SPACED)
         else:
-            render(child, page)
+            yield render(child, page)
 
 
 def plain(node: Node) -> str:
     out = []
-    for child in node.children:
+    left = node.children[::-1]
+    while left:
+        child = left.pop()
         if isinstance(child, str):
             out.append(child)
         elif child.tag == "br":
             out.append("\n")
         elif shown(child):
-            out.append(plain(child))
+            left.extend(child.children[::-1])
     return "".join(out)
 
 
@@ -280,12 +296,23 @@ def span(cell: Node) -> int:
     return min(1000, max(1, int(wide))) if wide.isdecimal() and len(wide) < 9 else 1
 
 
-def table(node: Node, page: Page) -> None:
-    """Rows of cells in columns as wide as their widest cell; cells may have several lines."""
-    rows: list[list[tuple[list[str], int]]] = []
+def row_span(cell: Node) -> int:
+    """Rows that a cell takes; 0 is all that are left of its group."""
+    tall = cell.attrs.get("rowspan", "1").strip()
+    return min(65_534, int(tall)) if tall.isdecimal() and len(tall) < 9 else 1
+
+
+def table(node: Node, page: Page) -> Iterator:
+    """Rows of cells in columns as wide as their widest cell; cells may have several lines.
+
+    A cell takes the first column that no cell of an earlier row of its group reaches into; its text
+    stands in its first row, and its columns stay blank in the others.
+    """
+    rows: list[list[tuple[int, list[str], int]]] = []
     rest: list[Node | str] = []
+    busy: dict[int, float] = {}  # first row below the cell that takes a column
 
-    def collect(parent: Node) -> None:
+    def collect(parent: Node) -> Iterator:
         for child in parent.children:
             if isinstance(child, str):
                 if child.strip():
@@ -293,55 +320,63 @@ def table(node: Node, page: Page) -> None:
             elif not shown(child):
                 continue
             elif child.tag == "caption":
-                render(child, page)
+                yield render(child, page)
                 page.end_line()
             elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-                collect(child)
+                busy.clear()
+                yield collect(child)
+                busy.clear()
             elif child.tag == "tr":
-                cells = []
+                cells, at = [], 0
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th") and shown(cell):
                         inner = Page()
-                        render(cell, inner)
+                        yield render(cell, inner)
                         inner.end_line()
-                        cells.append((inner.lines or [""], span(cell)))
+                        while busy.get(at, 0) > len(rows):
+                            at += 1
+                        wide, tall = span(cell), row_span(cell)
+                        cells.append((at, inner.lines or [""], wide))
+                        if tall != 1:
+                            end = len(rows) + tall if tall else float("inf")
+                            busy.update((i, max(end, busy.get(i, 0))) for i in range(at, at + wide))
+                        at += wide
                     elif isinstance(cell, Node) or cell.strip():
                         rest.append(cell)
                 rows.append(cells)
             else:
                 rest.append(child)
 
-    collect(node)
+    yield collect(node)
     if rest:  # what is not in a cell stands before the table
         holder = Node("div")
         holder.children = rest
-        render(holder, page)
+        yield render(holder, page)
         page.end_line()
     widths: list[int] = []
     for cells in rows:
-        at = 0
-        for lines, wide in cells:
+        for at, lines, wide in cells:
             while len(widths) < at + wide:
                 widths.append(0)
             if wide == 1:
                 widths[at] = max(widths[at], *map(len, lines))
-            at += wide
     out = []
     for cells in rows:
-        height = max((len(lines) for lines, _ in cells), default=0)
+        height = max((len(lines) for _, lines, _ in cells), default=0)
         for i in range(height):
-            parts, at = [], 0
-            for lines, wide in cells:
+            parts, end = [], 0
+            for at, lines, wide in cells:
+                parts += [" " * x for x in widths[end:at]]
                 room = sum(widths[at:at + wide]) + 2 * (wide - 1)
                 parts.append((lines[i] if i < len(lines) else "").ljust(room))
-                at += wide
+                end = at + wide
             out.append("  ".join(parts).rstrip())
     page.add_lines([line for line in out if line])
 
 
 def visible_text(source: str | None) -> str:
     page = Page()
-    render(build(source or ""), page)
+    run_parts(render(build(source or ""), page))
     page.end_line()
     lines = page.lines
     while lines and not lines[-1]:

@@ -43,6 +43,36 @@ def test_deep_and_long_pages():
     assert visible_text("<a '" * 20_000 + "z").endswith("z")
 
 
+@pytest.mark.parametrize("opened", ["<font>", "<a>", "<span>", "<div>", "<b><i>"])
+def test_layout_below_many_levels(opened):
+    deep = opened * 3_000
+    assert visible_text(deep + "<div hidden>secret</div>") == ""
+    assert visible_text(deep + "<div hidden>a<div>b</div>c</div>d") == "d"
+    assert visible_text(deep + "<ul><li>a<li>b<ol><li>c</ol></ul>") == "- a\n- b\n  1. c"
+    assert visible_text(deep + "<table><tr><td>ab<td>c<tr><td>d<td>e</table>") == "ab  c\nd   e"
+    assert visible_text(f"<div hidden>{deep}<p>x</p></div>y") == ("" if opened == "<div>" else "y")
+
+
+def test_deep_lists_and_tables():
+    lines = visible_text("<ul><li>x" * 1_000).split("\n")
+    assert lines == ["  " * i + "- x" for i in range(1_000)]
+    assert visible_text("<table><tr><td>" * 2_000 + "x") == "x"
+    assert visible_text("<pre>" + "<b>" * 5_000 + " y") == " y"
+    assert visible_text("<table>" + "<colgroup>" * 5_000 + "<tr><td>z") == "z"
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<tr><td rowspan=2>a<td>b<tr><td>c", "a  b\n   c"),
+    ("<tr><td>a<td rowspan=2>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h", "a   b  c\ndd     e\nf   g  h"),
+    ("<tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>e<td>f<td>g", "ab    c\n      d\ne  f  g"),
+    ("<tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d", "a  b\n   c\n   d"),
+    ("<tbody><tr><td rowspan=9>a<td>b<tr><td>c<tbody><tr><td>d<td>e", "a  b\n   c\nd  e"),
+    ("<tr><td rowspan=x>a<td>b<tr><td>c<td>d", "a  b\nc  d"),
+])
+def test_rowspan(source, text):
+    assert visible_text(f"<table>{source}</table>") == text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(
     ["<p>", "</p>", "<div>", "</div>", "<ul>", "<li>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</table>",
