@@ -10,7 +10,9 @@ therefore made of the windows that are `contrast` times as common in toxic sampl
 ordinary ones and stand in `least_documents` of them. Half of the sample trains the dictionaries,
 the other half the thresholds' weights.
 
-The sample is bounded by `sample` labelled documents a class and `SAMPLE_BYTES` of text.
+The sample is bounded by `sample` toxic and twice as many ordinary documents and `SAMPLE_BYTES` of text. Of a
+document longer than 1/64 of its class's text, words from places spread over it are taken, so that
+no document crowds out the others.
 """
 
 from __future__ import annotations
@@ -175,9 +177,21 @@ def is_held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
+def spread(text: Column, most: int) -> Column:
+    """The text; of one with more than `most` characters, the words at 16 places from its start to its end."""
+    part = most // 16 - 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.regexp_replace(F.substring(
+        text, (i * ((F.length(text) - part) / 15)).cast("int") + 1, F.lit(part)), r"^\S+\s|\s\S+$", ""))
+    return F.when(F.length(text) > most, F.array_join(pieces, " ")).otherwise(text)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str,
                     label_col: str) -> tuple[list[str], list[str], float]:
-    """Texts of the first labelled documents in hash order, toxic and ordinary, and the toxic share."""
+    """Texts of the first labelled documents in hash order, toxic and ordinary, and the toxic share.
+
+    Reading ends at the first text that does not fit; by then a class has 63/64 of its text, in 64 documents or more.
+    """
+    room = SAMPLE_BYTES // 2
     marked = labels.where(~is_held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(label_col).alias("_label")).where("_label in (0, 1)")
     counts = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
@@ -187,11 +201,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, id_col: str
         order = F.xxhash64(F.col("_id"))
         ids = marked.where(F.col("_label") == label).orderBy(order, "_id").limit(limit)  # bounded
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(
-            "_text is not null").join(F.broadcast(ids), "_id").select(order.alias("_order"), "_id", "_text")
+            "_text is not null").join(F.broadcast(ids), "_id").select(
+                order.alias("_order"), "_id", spread(F.col("_text"), room // 64).alias("_text"))
         texts, size = [], 0
         for row in rows.orderBy("_order", "_id", "_text").toLocalIterator():
             size += len(row["_text"])
-            if size > SAMPLE_BYTES // 2:
+            if size > room:
                 break
             texts.append(row["_text"])
         found.append(list(dict.fromkeys(texts)))

@@ -3,7 +3,18 @@ import zlib
 import numpy as np
 import pytest
 
-from lacunae.llm.toxicity import Distance, features, score_toxicity, train, windows
+from pyspark.sql import functions as F
+
+from lacunae.llm import toxicity
+from lacunae.llm.toxicity import (
+    Distance,
+    features,
+    is_held_out,
+    labelled_sample,
+    score_toxicity,
+    train,
+    windows,
+)
 
 
 def test_held_out_documents(spark):
@@ -57,3 +68,19 @@ def test_odd_rows(spark, odd_documents, no_documents):
     rows = out.collect()
     assert len(rows) == 12 and all(0 <= r.score <= 1 for r in rows)
     assert score_toxicity(no_documents, table).collect() == []
+
+
+def test_a_very_long_first_document(spark, monkeypatch):
+    """The first document of each class in hash order is longer than all text that is sampled."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1 << 17)
+    ids = [r.id for r in spark.range(100).where(~is_held_out("id")).orderBy(F.xxhash64("id")).collect()]
+    long = " ".join(f"long{i}" for i in range(10_000))
+    rows = [(i, long if at < 2 else f"short {i}") for at, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, at % 2) for at, i in enumerate(ids)], "doc_id long, toxic int")
+    toxic, ordinary, share = labelled_sample(docs, labels, 4000, "doc_id", "text", "toxic")
+    assert len(toxic) == len(ids) // 2 and len(ordinary) == len(ids) - len(ids) // 2
+    for texts in toxic, ordinary:
+        words = texts[0].split()
+        assert 500 < len(texts[0]) <= 1024 and set(words) <= set(long.split())
+        assert int(words[0][4:]) < 10 and int(words[-1][4:]) > 9_980
