@@ -1,4 +1,4 @@
-"""The registered queries of this package; nearly all are tested against brute force, not SQL."""
+"""The registered queries of this package; SQL where it can say them, else tests hold them against brute force."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .decontam import find_leaks, leak_report
+from .filter_audit import audit_filters
 from .html_text import page_texts
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
@@ -71,8 +72,46 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_toxicity, op3_sharding, op4_nearest_neighbours, op5_decontamination,
-    op6_token_counts, op7_suffix_dedup, op8_line_dedup, op9_near_dedup, op10_html_extraction)}
-
-SQL: dict[str, str] = {}
+    op6_token_counts, op7_suffix_dedup, op8_line_dedup, op9_near_dedup, op10_html_extraction,
+    op11_filter_audit)}
+
+SQL: dict[str, str] = {
+    "op11_filter_audit": r"""WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+  firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+  worded AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM texts JOIN firsts USING (t)),
+  marked AS (SELECT part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS failed,
+    coalesce(quality = 1, FALSE) AS good, coalesce(toxic = 1, FALSE) AS toxic
+    FROM worded LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l
+    USING (doc_id)),
+  counted AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM marked GROUP BY 1, 2),
+  letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  steps AS (SELECT filter_order, s.step::INTEGER AS step, filter_order[s.step] AS f,
+    filter_order[:s.step - 1] AS ran FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+  rows AS (SELECT part, filter_order, step, f, counted.*, contains(failed, f) AS fails,
+    len(list_filter(string_split(ran, ''), lambda x: x <> '' AND contains(failed, x))) = 0 AS alive
+    FROM counted, steps),
+  sums AS (SELECT part, filter_order, step, any_value(f) AS f,
+    sum(n) FILTER (alive AND NOT fails) AS kept, sum(n) FILTER (alive AND fails) AS removed,
+    sum(n) FILTER (fails AND NOT alive) AS redundant, sum(n) FILTER (failed = f) AS unique_fails,
+    sum(good) FILTER (alive AND fails) AS good_lost, sum(toxic) FILTER (alive AND fails) AS toxic_lost
+    FROM rows GROUP BY 1, 2, 3)
+  SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+    coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM sums""",
+}
