@@ -12,6 +12,7 @@ from .filter_audit import audit_filters
 from .html_text import page_texts
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
+from .order_packing import pack_in_order
 from .packing import pack_documents
 from .sharding import shard_by_ring
 from .suffix_dedup import remove_repeats
@@ -76,10 +77,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_in_order(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_toxicity, op3_sharding, op4_nearest_neighbours, op5_decontamination,
     op6_token_counts, op7_suffix_dedup, op8_line_dedup, op9_near_dedup, op10_html_extraction,
-    op11_filter_audit)}
+    op11_filter_audit, op12_order_packing)}
 
 SQL: dict[str, str] = {
     "op11_filter_audit": r"""WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
