@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .collocations import collocations
 from .common import table
 from .decontam import find_leaks, leak_report
 from .filter_audit import audit_filters
@@ -81,10 +82,14 @@ def op12_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_in_order(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_toxicity, op3_sharding, op4_nearest_neighbours, op5_decontamination,
     op6_token_counts, op7_suffix_dedup, op8_line_dedup, op9_near_dedup, op10_html_extraction,
-    op11_filter_audit, op12_order_packing)}
+    op11_filter_audit, op12_order_packing, op13_collocations)}
 
 SQL: dict[str, str] = {
     "op11_filter_audit": r"""WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
@@ -119,4 +124,27 @@ SQL: dict[str, str] = {
     coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
     coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
     coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM sums""",
+    "op13_collocations": r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2),
+      lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM worded, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+  f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+  n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY 1),
+  c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+  cuts AS (SELECT c.*, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+    FROM c, (SELECT unnest(range(1, 5)) AS k) WHERE k < m),
+  scored AS (SELECT cuts.lang, cuts.phrase, cuts.m, a, k, fx.f AS l, fy.f AS r, n,
+      1000::HUGEINT * a * n // (fx.f::HUGEINT * fy.f) AS score
+    FROM cuts JOIN n USING (lang) JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x
+    JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+  weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  inner_ AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS cover
+    FROM c, (SELECT unnest(range(2, 5)) AS s), (SELECT unnest(range(1, 5)) AS i) WHERE s < m AND i + s - 1 <= m
+    GROUP BY ALL),
+  kept AS (SELECT weakest.* FROM weakest LEFT JOIN inner_ USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 100 * a)
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+    score::BIGINT AS score FROM kept QUALIFY rank <= 2000""",
 }
