@@ -16,7 +16,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -142,8 +142,8 @@ def failed_sets(docs: DataFrame, labels: DataFrame | None, filters: Mapping[str,
             # Rows with the least id; rows without an id are never repeats of another.
             F.sum(F.when(F.col("id").isNull(), F.col("n"))).alias("free"),
             F.min_by("n", F.col("id")).alias("n_least"))
-        firsts = alike.groupBy("digest").agg(F.min("least").alias("first"))
-        alike = alike.join(firsts, "digest")
+        # At most a row per part, label and digest, so no group is large.
+        alike = alike.withColumn("first", F.min("least").over(Window.partitionBy("digest")))
         kept = F.coalesce("free", F.lit(0)) + F.when(
             F.col("least") == F.col("first"), F.col("n_least")).otherwise(F.lit(0))
         cases = alike.select("part", "good", "toxic", F.explode(F.array(
