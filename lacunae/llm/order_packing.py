@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,33 @@ from .common import kept, slices, stored
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SENTENCE_END = re.compile(r"""[.!?…。！？]["'”’»)\]]*$""")
 SENTENCE_BREAK = re.compile(r"""[.!?…。！？]["'”’»)\]]*(?=[ \n])|\n""")
-PLAIN = re.compile(r"([a-z]+)([.,;:!?]*)")
-KNOWN = 1_000_000
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?]*)")
+KNOWN = 1_500_000
 UNIT = 1 << 20
 
 
 # ---- tokens and places to cut ----
 
+class Codes(dict):
+    """Numbers of chunks in the order in which they were first met."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = code = len(self)
+        self.new.append(chunk)
+        return code
+
+
+class Encoded(NamedTuple):
+    """Ids of texts one after the other, their number per text, and the sentence ends: text and ids before it."""
+
+    ids: np.ndarray
+    tokens: np.ndarray
+    text: np.ndarray
+    end: np.ndarray
+
+
 class SentenceEncoder:
-    """Ids of a text, and how many of them stand before each of its sentence ends.
+    """Ids of texts, and how many of them stand before each sentence end.
 
     A sentence ends with a line, or after a chunk (what stands between spaces) with a closing mark. Where no token
     crosses white space, ids are looked up by chunk; any other tokenizer is given whole texts.
@@ -73,12 +92,17 @@ class SentenceEncoder:
                         for t in spec.get("added_tokens") or []))
         self.by_chunk = holds if by_chunk is None else by_chunk and holds
         self.most_known = KNOWN
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.ends: set[str] = set()
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids at the end of a pre-token
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.cores = Codes(), {"": b""}
+        self.codes.new = []
+        self.body = np.empty(1 << 16, np.uint32)  # ids of all chunks
+        self.first = np.zeros(1, np.int64)  # where each begins in it, and the end of the last
+        self.ends = np.zeros(0, bool)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 500):
@@ -86,7 +110,10 @@ class SentenceEncoder:
                 yield array("I", found.ids).tobytes()
 
     def _learn_cores(self, words: list[str]) -> None:
-        """Ids of words of plain letters, encoded in rows and cut at the ids that end a word."""
+        """Ids of words of letters, encoded in rows and cut at the ids that end a pre-token.
+
+        A row in which some word is more than one pre-token is encoded word by word.
+        """
         rows = [words[i:i + 200] for i in range(0, len(words), 200)]
         for row, ids in zip(rows, self._encode([" ".join(row) for row in rows]), strict=True):
             cuts = (4 * (np.flatnonzero(self.closes[np.frombuffer(ids, np.uint32)]) + 1)).tolist()
@@ -95,46 +122,85 @@ class SentenceEncoder:
             else:
                 self.cores.update(zip(row, self._encode(row), strict=True))
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.cores) > self.most_known:
-            self.cores.clear()
-        split = [PLAIN.fullmatch(c.lower()) if c.isascii() else None for c in chunks]
-        words = {x for m in split if m for x in m.groups() if x}
-        marks = {x for x in words if x[0] in ".,;:!?"}
-        self._learn_cores([x for x in words - marks if x not in self.cores])
-        self.cores.update(zip(marks, self._encode(list(marks)), strict=True))
-        self.cores[""] = b""
-        odd = [c for c, m in zip(chunks, split, strict=True) if not m]
-        self.known.update(zip(odd, self._encode(odd), strict=True))
-        for c, m in zip(chunks, split, strict=True):
-            if m:
-                self.known[c] = self.cores[m[1]] + self.cores[m[2]]
-            if c == "\n" or SENTENCE_END.search(c):
-                self.ends.add(c)
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+    def _learn(self) -> None:
+        """Ids of the chunks that are new: a word and its closing marks apart, all else as it is."""
+        chunks, self.codes.new = self.codes.new, []
+        split = [m.groups() if (m := WORD_AND_MARKS.fullmatch(c.lower() if c.isascii() else c)) else None for c in chunks]
+        words = {m[0] for m in split if m}
+        marks = {m[1] for m in split if m}
+        self._learn_cores([x for x in words if x not in self.cores])
+        new_marks = [x for x in marks if x not in self.cores]
+        self.cores.update(zip(new_marks, self._encode(new_marks), strict=True))
+        odd = self._encode([c for c, m in zip(chunks, split, strict=True) if not m])
+        cores = self.cores
+        found = [cores[m[0]] + cores[m[1]] if m else next(odd) for m in split]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = self.first[-1]
+        self.first = np.concatenate([self.first, start + np.cumsum(sizes)])
+        while self.first[-1] > len(self.body):
+            self.body = np.concatenate([self.body, np.empty_like(self.body)])
+        self.body[start:self.first[-1]] = np.frombuffer(b"".join(found), np.uint32)
+        ends = [c == "\n" or bool(SENTENCE_END.search(c)) for c in chunks]
+        self.ends = np.concatenate([self.ends, np.array(ends, bool)])
+
+    def __call__(self, texts: list[str]) -> Encoded:
         if not self.by_chunk:
-            yield from self._whole(texts)
-            return
-        parts = [t.replace("\n", " \n ").split(" ") for t in texts]
-        needed = set(itertools.chain.from_iterable(parts))
-        if len(self.known) > self.most_known:
-            self.known.clear()
-            self.ends.clear()
-        self._learn([c for c in needed if c not in self.known])
-        get, is_end = self.known.__getitem__, self.ends.__contains__
-        for part in parts:
-            ids = list(map(get, part))
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-            ends = ends[np.fromiter(map(is_end, part), bool, len(part))] // 4
-            yield b"".join(ids), ends
-
-    def _whole(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
-        for text in texts:
+            return self._whole(texts)
+        if len(self.codes) > self.most_known:
+            self._forget()
+        parts: list[str] = []
+        counts = []
+        for t in texts:
+            own = t.replace("\n", " \n ").split(" ")
+            counts.append(len(own))
+            parts += own
+        codes = np.fromiter(map(self.codes.__getitem__, parts), np.int64, len(parts))
+        if self.codes.new:
+            self._learn()
+        text = np.repeat(np.arange(len(texts)), counts)
+        sizes = np.diff(self.first)[codes]
+        after = np.cumsum(sizes)
+        ids = self.body[np.repeat(self.first[codes] - (after - sizes), sizes) + np.arange(sizes.sum())]
+        last = np.cumsum(counts) - 1
+        bounds = np.concatenate([[0], after[last]]) if len(texts) else np.zeros(1, np.int64)
+        flagged = np.flatnonzero(self.ends[codes])
+        return Encoded(ids, np.diff(bounds), text[flagged], after[flagged] - bounds[text[flagged]])
+
+    def _whole(self, texts: list[str]) -> Encoded:
+        all_ids, tokens, of, ends = [np.empty(0, np.uint32)], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for number, text in enumerate(texts):
             found = self.tokenizer.encode_batch([text], add_special_tokens=False)[0]
             starts = np.array([a for a, _ in found.offsets], np.int64)
             breaks = [m.end() for m in SENTENCE_BREAK.finditer(text)]
-            yield array("I", found.ids).tobytes(), np.searchsorted(starts, breaks)
+            all_ids.append(np.array(found.ids, np.uint32))
+            tokens.append(len(found.ids))
+            ends.append(np.searchsorted(starts, breaks))
+            of.append(np.full(len(breaks), number))
+        return Encoded(np.concatenate(all_ids), np.array(tokens, np.int64), np.concatenate(of), np.concatenate(ends))
+
+
+def places_of(found: Encoded, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, inside) of all possible cuts by text and place; the end of a text counts its end id."""
+    n = found.tokens
+    inner = (found.end > 0) & (found.end < n[found.text])
+    key = np.concatenate([found.text[inner] << 32 | found.end[inner], np.arange(len(n)) << 32 | n + 1])
+    key = np.unique(key)
+    text, place = key >> 32, key & 0xFFFFFFFF
+    before = np.concatenate([[0], place[:-1]]) * (np.concatenate([[-1], text[:-1]]) == text)
+    more = (place - before - 1) // longest  # cuts within each sentence
+    inside = np.zeros(len(key), np.int8)
+    if more.any():
+        at = np.repeat(np.arange(len(key)), more)
+        number = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + 1
+        extra = before[at] + number * longest
+        ok = extra < n[text[at]]  # the end id is never alone
+        extra = text[at][ok] << 32 | extra[ok]
+        inside = np.concatenate([inside, np.ones(len(extra), np.int8)])
+        key = np.concatenate([key, extra])
+        order = np.argsort(key, kind="stable")
+        key, inside = key[order], inside[order]
+        text, place = key >> 32, key & 0xFFFFFFFF
+    return text, place, inside
 
 
 def cut_places(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int, id_col: str, text_col: str,
@@ -147,36 +213,27 @@ def cut_places(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept(f"sentences {tokenizer_path}", lambda: SentenceEncoder(tokenizer_path))
         encode.most_known = cached_chunks
-        end = array("I", [end_id]).tobytes()
         for batch in slices(batches, text_col, 4 << 20):
-            tokens, places, inner, sums = [], [], [], []
-            for ids, ends in encode([t or "" for t in batch.column(1).to_pylist()]):
-                n = len(ids) // 4
-                ends = np.unique(ends[(ends > 0) & (ends < n)])
-                ends = np.append(ends, n + 1)
-                gaps = np.diff(ends, prepend=0)
-                inside = np.zeros(len(ends), np.int8)
-                if gaps.max() > longest:
-                    more = (gaps - 1) // longest  # cuts within each sentence
-                    at = np.repeat(np.arange(len(ends)), more)
-                    number = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + 1
-                    extra = (ends - gaps)[at] + number * longest
-                    extra = extra[extra < n]  # the end id is never alone
-                    ends = np.sort(np.append(ends, extra))
-                    inside = np.isin(ends, extra).astype(np.int8)
-                ids += end
-                crc, crcs, before = 0, [], 0
-                for place in (4 * ends).tolist():
-                    crc = zlib.crc32(ids[before:place], crc)
-                    crcs.append(crc)
-                    before = place
-                tokens.append(n + 1)
-                places.append(ends.astype(np.int32))
-                inner.append(inside)
-                sums.append(np.array(crcs, np.uint32).view(np.int32))
+            found = encode([t or "" for t in batch.column(1).to_pylist()])
+            text, place, inside = places_of(found, longest)
+            bounds = np.cumsum(found.tokens)
+            ids = np.insert(found.ids, bounds, end_id).astype("<u4", copy=False)
+            body = memoryview(ids).cast("B")
+            start = np.concatenate([[0], bounds + np.arange(1, len(bounds) + 1)])
+            stops = (4 * (start[text] + place)).tolist()
+            last = place == found.tokens[text] + 1
+            crc, before, crcs = 0, 0, []
+            for stop, ends in zip(stops, last.tolist()):
+                crc = zlib.crc32(body[before:stop], crc)
+                crcs.append(crc)
+                before = stop
+                if ends:
+                    crc = 0
+            cuts = pa.array(np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (
+                place.astype(np.int32), inside, np.array(crcs, np.uint32).view(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.int64()), pa.array(places, pa.list_(pa.int32())),
-                 pa.array(inner, pa.list_(pa.int8())), pa.array(sums, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(found.tokens + 1), *lists],
                 ["id", "doc_tokens", "ends", "inside", "crcs"])
 
     kind = docs.schema[id_col].dataType.simpleString()

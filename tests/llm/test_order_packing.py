@@ -8,16 +8,17 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lacunae.llm.order_packing import SentenceEncoder, Shift, best_cuts, cut_places, pack_in_order
+from lacunae.llm.order_packing import SentenceEncoder, Shift, best_cuts, cut_places, pack_in_order, places_of
 from lacunae.llm.queries import vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
 ENCODER, WHOLE = SentenceEncoder(PATH), SentenceEncoder(PATH, by_chunk=False)
+LIBRARY = Tokenizer.from_file(PATH)
 PENALTIES = (32, 256)
 
 
 def ids_of(text):
-    found = Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    found = LIBRARY.encode(text or "", add_special_tokens=False).ids
     return np.array([*found, 2], "<u4")
 
 
@@ -59,11 +60,12 @@ def test_checksum_of_the_rest(a, b):
 @given(st.text(st.sampled_from("aB éÉ́\n\t \x1c\x85\xa0　,.!?'s12世。<|>Σς\"ﬁ"), max_size=30))
 def test_chunks_encode_as_whole_texts(text):
     text += "<|endoftext|>" if len(text) % 3 == 0 else " it's O.K. it'S 3.14"
-    (ids, ends), = ENCODER([text])
-    (whole, _), = WHOLE([text])
+    texts = ["One.", text, "", text + " two", "ǅ x² ﬁn İs. İ"]
+    found, whole = ENCODER(texts), WHOLE(texts)
     assert ENCODER.by_chunk and not WHOLE.by_chunk
-    assert ids == whole and ids + b"\2\0\0\0" == ids_of(text).tobytes()
-    assert len(ends) == 0 or ends[-1] <= len(ids) // 4
+    assert found.ids.tolist() == whole.ids.tolist() == [i for t in texts for i in ids_of(t)[:-1]]
+    assert found.tokens.tolist() == whole.tokens.tolist()
+    assert (found.end <= found.tokens[found.text]).all() and (np.diff(found.text) >= 0).all()
 
 
 def test_sentence_ends():
@@ -71,8 +73,16 @@ def test_sentence_ends():
     parts = ["One two.", 'Three "four?"', "Five", "six...", "3.14 seven!"]
     sizes = np.cumsum([len(ids_of(p)) - 1 for p in parts]).tolist()
     for encode in (ENCODER, WHOLE):
-        (_, ends), = encode([text])
-        assert sorted(set(ends.tolist())) == sizes
+        found = encode(["", text])
+        assert sorted(set(found.end.tolist())) == sizes and set(found.text.tolist()) == {1}
+
+
+def test_long_sentences_can_be_cut():
+    found = ENCODER(["a " * 25 + "b. c", "", "d " * 10])
+    text, place, inside = places_of(found, 10)
+    n = found.tokens.tolist()
+    assert [*zip(text.tolist(), place.tolist(), inside.tolist())] == [
+        (0, 10, 1), (0, 20, 1), (0, n[0] - 1, 0), (0, n[0] + 1, 0), (1, 1, 0), (2, 11, 0)]
 
 
 def check(out, texts, capacity):
