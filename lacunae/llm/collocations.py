@@ -15,6 +15,7 @@ Sub-phrases of a frequent phrase are frequent, so the exact counts hold all that
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from .words import Rolling, U, Words, mixed
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 MAP_BITS = 1 << 27
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+SENT_KEYS = 3_000_000
 
 
 def _bytes_in(marks: bytes) -> np.ndarray:
@@ -40,6 +42,17 @@ def _bytes_in(marks: bytes) -> np.ndarray:
 
 # ---- summaries ----
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, with the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    if not len(keys):
+        return keys, counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 class MisraGries:
     """Counts with at most `capacity` keys; each is too low by `error` at most, which is mass / (capacity + 1) at most."""
 
@@ -65,15 +78,9 @@ class MisraGries:
         """Sum what waits; if there are too many keys, take the largest count that loses its place off all."""
         if not self.waiting:
             return
-        keys = np.concatenate([self.keys, *[k for k, _ in self.waiting]])
-        counts = np.concatenate([self.counts, *[c for _, c in self.waiting]])
+        self.keys, self.counts = summed([(self.keys, self.counts), *self.waiting])
         self.waiting.clear()
         self.size = 0
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-        self.keys = keys[first]
-        self.counts = np.add.reduceat(counts[order], first) if len(first) else counts
         if len(self.keys) > self.capacity:
             at = len(self.keys) - self.capacity - 1
             cut = np.partition(self.counts, at)[at]
@@ -172,22 +179,31 @@ def summarise(texts: DataFrame, sizes: range, threshold: int, places: Places, ma
     """Bit map of all phrases of `sizes` words that may be frequent."""
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rolling = [m.value for m in maps], Rolling()
-        for batch in slices(batches, "text", SLICE_BYTES):
-            phrases = Phrases(batch.column(1), batch.column(0).to_pylist(), rolling)
-            keys = [k[whole] for n, k, whole in phrases.frequent(sizes[-1], places, known) if n in sizes]
-            found, counts = np.unique(np.concatenate(keys), return_counts=True)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            found, counts = summed(waiting)
             part = places.part(found)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-            cuts = [*first, len(found)]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            rows = list(itertools.pairwise([*first.tolist(), len(found)]))
             prints, counts = (found & U(0xFFFFFFFF)).astype(np.uint32), counts.astype(np.uint32)
-            rows = list(zip(cuts[:-1], cuts[1:]))
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array([int(part[a]) for a, _ in rows], pa.int32()),
                  pa.array([int(counts[a:b].sum(dtype=np.int64)) for a, b in rows], pa.int64()),
                  pa.array([prints[a:b].tobytes() for a, b in rows], pa.binary()),
                  pa.array([counts[a:b].tobytes() for a, b in rows], pa.binary())],
                 ["part", "mass", "prints", "counts"])
 
+        for batch in slices(batches, "text", SLICE_BYTES):
+            phrases = Phrases(batch.column(1), batch.column(0).to_pylist(), rolling)
+            keys = [k[whole] for n, k, whole in phrases.frequent(sizes[-1], places, known) if n in sizes]
+            waiting.append(np.unique(np.concatenate(keys), return_counts=True))
+            if sum(len(k) for k, _ in waiting) > SENT_KEYS:
+                yield dealt()
+                waiting.clear()
+        if any(len(k) for k, _ in waiting):
+            yield dealt()
+
     sent = stored(texts.mapInArrow(sums, "part int, mass long, prints binary, counts binary"), "phrases")
     masses = {r["part"]: r["mass"] for r in sent.groupBy("part").agg(F.sum("mass").alias("mass")).collect()}
 
@@ -295,7 +311,7 @@ def collocations(docs: DataFrame, longest: int = 5, threshold: int = 100, top: i
     * Rows that repeat count each. Ties in score go by count, then by the bytes of the phrase.
     * Very long texts and words are treated like all others. An empty table gives an empty result.
     * Other columns are not read. The table is read four times: pass a stored one.
-    * Phrases are told apart by their text; within a slice of 16 MB of text, by a 64-bit hash.
+    * Phrases are told apart by their text; within a slice of 4 MB of text, by a 64-bit hash.
     """
     counts = stored(frequent_phrases(docs, longest, threshold, text_col, lang_col), "counts")
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
