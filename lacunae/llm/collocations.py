@@ -29,9 +29,9 @@ from .words import Rolling, U, Words, mixed
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
-MAP_BITS = 1 << 27
-SLICE_BYTES = 4 << 20
-SENT_KEYS = 3_000_000
+MAP_BITS = 1 << 26
+SLICE_BYTES = 2 << 20
+SENT_KEYS = 1_000_000
 
 
 def _bytes_in(marks: bytes) -> np.ndarray:
@@ -311,7 +311,7 @@ def collocations(docs: DataFrame, longest: int = 5, threshold: int = 100, top: i
     * Rows that repeat count each. Ties in score go by count, then by the bytes of the phrase.
     * Very long texts and words are treated like all others. An empty table gives an empty result.
     * Other columns are not read. The table is read four times: pass a stored one.
-    * Phrases are told apart by their text; within a slice of 4 MB of text, by a 64-bit hash.
+    * Phrases are told apart by their text; within a slice of 2 MB of text, by a 64-bit hash.
     """
     counts = stored(frequent_phrases(docs, longest, threshold, text_col, lang_col), "counts")
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
