@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +43,10 @@ def row_normal(seed: int, keys: Sequence[str], salt: str) -> Column:
     digits = row_hex(seed, keys, salt)
     radius = F.sqrt(F.lit(-2.0) * F.log(hex_unit(digits, 1)))
     return radius * F.cos(F.lit(2.0 * math.pi) * hex_unit(digits, 14))
+
+
+def splitmix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of the public splitmix64 generator on an array of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

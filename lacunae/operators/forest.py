@@ -5,9 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +12,10 @@ from ..session import cut_lineage
 from .modelling import Layout, hole, layout
 from .profile import numeric_columns
 from .simple import NO_CATEGORY, modes
+from .trees import Growth, predicted, quantile_cuts
 
 NOW, OLD = "now__", "old__"
+ROW = "row__"
 
 
 def convergence_delta(
@@ -57,20 +56,28 @@ def should_stop(current: Sequence[float], previous: Sequence[float]) -> bool:
 
 
 class MissForest:
-    """Mean/mode start, then one forest per holed column and iteration."""
+    """Mean/mode start, then one forest per holed column and iteration.
+
+    Trees split at cuts between `max_bins` (256 at most) quantile bins. `max_features` is "sqrt", "log2", "onethird",
+    "all", a share or a number. A task grows the part of a tree that holds about `task_rows` rows; in larger
+    tables the part above it is grown on about `sample_rows` rows (see `trees`).
+    """
 
     name = "MissForest"
 
     def __init__(
         self, keys: Sequence[str] = (), seed: int = 42, n_estimators: int = 200,
         max_iter: int = 10, max_features: str = "sqrt", min_samples_leaf: int = 1,
-        max_depth: int = 30, max_bins: int = 64, decreasing: bool = False,
-        fallback: str = NO_CATEGORY,
+        max_depth: int = 30, max_bins: int = 256, decreasing: bool = False,
+        fallback: str = NO_CATEGORY, task_rows: int = 1_000_000, sample_rows: int = 200_000,
     ) -> None:
+        if not 2 <= max_bins <= 256:
+            raise ValueError("max_bins must be 2 to 256")
         self.keys, self.seed, self.max_iter = list(keys), seed, max_iter
         self.n_estimators, self.max_features = n_estimators, max_features
         self.min_samples_leaf, self.max_depth = min_samples_leaf, max_depth
         self.max_bins, self.decreasing, self.fallback = max_bins, decreasing, fallback
+        self.task_rows, self.sample_rows = task_rows, sample_rows
 
     def fit(self, df: DataFrame) -> ForestModel:
         plan = layout(df, self.keys)
@@ -112,8 +119,11 @@ class ForestModel:
                 first = plan.code_of(c, first)
             start[hole(c)] = F.col(c).isNull()
             start[NOW + c] = F.coalesce(plan.value(c), F.lit(float(first)))
-        # Every iteration reads the table many times: prepare it once.
-        state = cut_lineage(plan.prepare(df).withColumns(start), *(plan.keys or plan.columns))
+        # Every iteration reads the table many times: prepare it once, with a number for each row.
+        state = cut_lineage(plan.prepare(df).withColumns(start).withColumn(
+            ROW, F.monotonically_increasing_id()), *(plan.keys or plan.columns))
+        columns = [NOW + c for c in plan.columns]
+        self.cuts = dict(zip(columns, quantile_cuts(state, columns, self.settings.max_bins)))
         masks = {c: hole(c) for c in self.order}
         numeric = {c: m for c, m in masks.items() if c in plan.numeric}
         text = {c: m for c, m in masks.items() if c in plan.text}
@@ -140,21 +150,13 @@ class ForestModel:
         return out.fillna(self.empty) if self.empty else out
 
     def _grow(self, state: DataFrame, target: str) -> DataFrame:
-        s = self.settings
-        features = [NOW + c for c in self.plan.columns if c != target]
-        kind = RandomForestClassifier if target in self.plan.text else RandomForestRegressor
-        forest = kind(
-            featuresCol="features__", labelCol=NOW + target, predictionCol="predicted__",
-            numTrees=s.n_estimators, maxDepth=s.max_depth, maxBins=s.max_bins,
-            minInstancesPerNode=s.min_samples_leaf, featureSubsetStrategy=s.max_features,
-            seed=s.seed)
-        assembled = VectorAssembler(inputCols=features, outputCol="features__").transform(state)
-        label = F.col(NOW + target)
-        if target in self.plan.text:  # without their number, at most 100 classes are taken
-            label = label.alias(NOW + target, metadata={
-                "ml_attr": {"type": "nominal", "num_vals": self.plan.n_categories(target)}})
-        model = forest.fit(assembled.where(~F.col(hole(target))).select("features__", label))
-        predicted = model.transform(assembled)
-        return predicted.withColumn(
-            NOW + target, F.when(F.col(hole(target)), F.col("predicted__"))
-            .otherwise(F.col(NOW + target))).select(*state.columns)
+        s, plan = self.settings, self.plan
+        features = [NOW + c for c in plan.columns if c != target]
+        if not features:
+            return state
+        how = Growth(s.n_estimators, s.seed, s.max_features, s.max_depth, s.min_samples_leaf, s.task_rows, s.sample_rows)
+        n_classes = plan.n_categories(target) if target in plan.text else 0
+        found = predicted(state, features, NOW + target, hole(target), ROW, [self.cuts[c] for c in features],
+                          n_classes, plan.n_rows, how).withColumnRenamed("prediction", "predicted__")
+        return state.join(found, ROW, "left").withColumn(
+            NOW + target, F.coalesce("predicted__", NOW + target)).select(*state.columns)
