@@ -32,6 +32,8 @@ BLANKS = b" \t"
 MAP_BITS = 1 << 26
 SLICE_BYTES = 2 << 20
 SENT_KEYS = 1_000_000
+SENT_PHRASES = 200_000
+FEW_LANGUAGES = 10_000
 
 
 def _bytes_in(marks: bytes) -> np.ndarray:
@@ -115,6 +117,10 @@ class Places:
 
 # ---- phrases of a batch ----
 
+def language_key(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
+
+
 class Phrases:
     """Hashes of all phrases of a batch: that of `n` words from word i on, and whether they stand in one piece."""
 
@@ -126,7 +132,7 @@ class Phrases:
         self.words = w = Words(texts, self.IS_WORD, rolling)
         n = len(w.starts)
         self.document = np.repeat(np.arange(len(langs)), np.diff(w.first))
-        seeds = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(langs)}
+        seeds = {x: language_key(x) for x in set(langs)}
         seed = np.array([seeds[x] for x in langs], np.uint64)
         self.single = mixed(w.hashes ^ seed[self.document]) if n else w.hashes
         before = np.cumsum(self.ENDS_PIECE[w.data], dtype=np.int32)
@@ -161,6 +167,74 @@ class Phrases:
             yield n, keys, whole
 
 
+class PhraseCounts:
+    """Counts of the phrases that a task has met, with their texts; sent by partition of their hash."""
+
+    def __init__(self, places: Places):
+        self.places = places
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[int, int] = {}
+        self.keys: list[int] = []
+        self.rows: list[tuple[str, bytes, int]] = []
+        self.counts = np.zeros(0, np.int64)
+
+    def _count(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Add to the counts of known keys; the numbers of the others, which get the next places."""
+        at = np.fromiter(map(self.number.get, keys.tolist(), itertools.repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.keys) + np.arange(len(new))
+        fresh = keys[new].tolist()
+        self.number.update(zip(fresh, at[new].tolist()))
+        self.keys += fresh
+        self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+        self.counts[at] += times
+        return new
+
+    def add(self, phrases: Phrases, longest: int, maps: list[np.ndarray]) -> None:
+        w = phrases.words
+        body = w.data.tobytes()
+        # Phrases whose words are one space apart are cut out as they are.
+        near = np.zeros(len(w.starts), bool)
+        if len(near):
+            near[:-1] = (w.starts[1:] - w.ends[:-1] == 1) & (w.data[w.ends[:-1]] == 0x20)
+        gaps = np.concatenate([[0], np.cumsum(~near)])
+        for n, keys, whole in phrases.frequent(longest, self.places, maps):
+            rows = np.flatnonzero(whole)
+            found, first, times = np.unique(keys[rows], return_index=True, return_counts=True)
+            at = rows[first[self._count(found, times)]]
+            plain = gaps[at + n - 1] == gaps[at]
+            for i, d, a, b, as_is in zip(at.tolist(), phrases.document[at].tolist(), w.starts[at].tolist(),
+                                         w.ends[at + n - 1].tolist(), plain.tolist()):
+                text = body[a:b] if as_is else b" ".join(
+                    body[s:e] for s, e in zip(w.starts[i:i + n].tolist(), w.ends[i:i + n].tolist()))
+                self.rows.append((phrases.langs[d], text, n))
+        total: dict[str, int] = {}
+        for lang, n_words in zip(phrases.langs, np.diff(w.first).tolist()):
+            total[lang] = total.get(lang, 0) + n_words
+        langs = list(total)
+        keys = np.array([language_key(x) for x in langs], np.uint64)
+        for i in self._count(keys, np.array(list(total.values()), np.int64)).tolist():
+            self.rows.append((langs[i], b"", 0))
+
+    def sent(self) -> pa.RecordBatch:
+        """A row per partition; the table is empty after that."""
+        keys = np.array(self.keys, np.uint64)
+        order = np.argsort(keys)
+        part = self.places.part(keys[order])
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        cuts = pa.array(np.append(first, len(part)).astype(np.int32))
+        rows = [self.rows[i] for i in order.tolist()]
+        columns = (pa.array([r[0] for r in rows], pa.string()),
+                   pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()),
+                   pa.array([r[2] for r in rows], pa.int32()), pa.array(self.counts[order]))
+        self._empty()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[first].astype(np.int32)), *[pa.ListArray.from_arrays(cuts, c) for c in columns]],
+            ["part", "langs", "phrases", "words", "f"])
+
+
 def _narrowed(whole: np.ndarray, keys: np.ndarray, places: Places, bitmap: np.ndarray) -> np.ndarray:
     rows = np.flatnonzero(whole)
     out = np.zeros(len(whole), bool)
@@ -254,42 +328,39 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, threshold: int = 100, te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rolling = [m.value for m in maps], Rolling()
+        table = PhraseCounts(places)
         for batch in slices(batches, "text", SLICE_BYTES):
-            phrases = Phrases(batch.column(1), batch.column(0).to_pylist(), rolling)
-            w = phrases.words
-            body = w.data.tobytes()
-            # Phrases whose words are one space apart are cut out as they are.
-            near = np.zeros(len(w.starts), bool)
-            if len(near):
-                near[:-1] = (w.starts[1:] - w.ends[:-1] == 1) & (w.data[w.ends[:-1]] == 0x20)
-            gaps = np.concatenate([[0], np.cumsum(~near)])
-            langs, texts_, words, counts = [], [], [], []
-            for n, keys, whole in phrases.frequent(longest, places, known):
-                rows = np.flatnonzero(whole)
-                _, first, times = np.unique(keys[rows], return_index=True, return_counts=True)
-                at = rows[first]
-                plain = gaps[at + n - 1] == gaps[at]
-                ends = w.ends[at + n - 1]
-                for i, a, b, whole_cut in zip(at.tolist(), w.starts[at].tolist(), ends.tolist(), plain.tolist()):
-                    texts_.append(body[a:b] if whole_cut else b" ".join(
-                        body[s:e] for s, e in zip(w.starts[i:i + n].tolist(), w.ends[i:i + n].tolist())))
-                langs += [phrases.langs[d] for d in phrases.document[at].tolist()]
-                words += [n] * len(at)
-                counts += times.tolist()
-            total: dict[str, int] = {}
-            for lang, n_words in zip(phrases.langs, np.diff(w.first).tolist()):
-                total[lang] = total.get(lang, 0) + n_words
-            langs += total
-            texts_ += [b""] * len(total)
-            words += [0] * len(total)
-            counts += total.values()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(texts_, pa.binary()).cast(pa.string()),
-                 pa.array(words, pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "words", "f"])
-
-    counted = texts.mapInArrow(count, "lang string, phrase string, words int, f long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(
-        (F.col("words") == 0) | (F.col("f") >= threshold))
+            table.add(Phrases(batch.column(1), batch.column(0).to_pylist(), rolling), longest, known)
+            if len(table.number) > SENT_PHRASES:
+                yield table.sent()
+        if table.number:
+            yield table.sent()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partitions come one after the other; each holds no more phrases than have survived in it."""
+        now, total = None, {}
+
+        def frequent() -> pa.RecordBatch:
+            rows = [(*k, f) for k, f in total.items() if f >= threshold or not k[2]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(
+                    (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "phrase", "words", "f"])
+
+        for batch in batches:
+            for part, *columns in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != now:
+                    if total:
+                        yield frequent()
+                    now, total = part, {}
+                for lang, phrase, words, f in zip(*columns, strict=True):
+                    key = lang, phrase, words
+                    total[key] = total.get(key, 0) + f
+        if total:
+            yield frequent()
+
+    sent = texts.mapInArrow(count, "part int, langs array<string>, phrases array<string>, words array<int>, f array<long>")
+    return sent.repartition(places.parts, "part").sortWithinPartitions("part").mapInArrow(
+        add_up, "lang string, phrase string, words int, f long")
 
 
 # ---- scores ----
@@ -311,10 +382,12 @@ def collocations(docs: DataFrame, longest: int = 5, threshold: int = 100, top: i
     * Rows that repeat count each. Ties in score go by count, then by the bytes of the phrase.
     * Very long texts and words are treated like all others. An empty table gives an empty result.
     * Other columns are not read. The table is read four times: pass a stored one.
-    * Phrases are told apart by their text; within a slice of 2 MB of text, by a 64-bit hash.
+    * Phrases are told apart by their text; within a task, by a 64-bit hash.
     """
     counts = stored(frequent_phrases(docs, longest, threshold, text_col, lang_col), "counts")
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
+    if totals.count() <= FEW_LANGUAGES:
+        totals = F.broadcast(totals)
     known = counts.where("words > 0")
     phrases = known.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
 
