@@ -10,7 +10,7 @@ from ..operators.order import with_position
 from ..plans.prompting import training_dataset
 from .fixtures import (
     CUSTOMER_KEYS, LINE_KEYS, ORDER_KEYS, customers, lines, load, orders,
-    sql_unit)
+    sql_hex, sql_unit)
 
 _TARGET = "c_acctbal"
 _FEATURES = ["c_nationkey", "c_mktsegment"]
@@ -66,6 +66,25 @@ def e2_topk_similar_ties(spark, sf):
                         F.round("similarity", 9).alias("similarity"))
 
 
+_WIDE = ["o_totalprice", "o_custkey", "order_year", "order_month", "o_orderstatus", "o_orderpriority",
+         "c_acctbal", "c_nationkey", "c_mktsegment"]
+_WIDE_NUMBERS = ["o_totalprice", "o_custkey", "order_year", "order_month", "c_acctbal", "c_nationkey"]
+
+
+def e2_topk_similar_wide(spark, sf):
+    """Nine mixed columns with holes: the width of real tables."""
+    rows = load(spark, sf, "orders").join(customers(spark, sf), F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", *[c for c in _WIDE if not c.startswith("order_")],
+        F.year("o_orderdate").alias("order_year"), F.month("o_orderdate").alias("order_month"),
+        (F.col("o_totalprice") * 0.5 + F.col("c_acctbal")).alias("o_score"))
+    holed = inject.mcar(inject.mcar_column(rows, 0.02, "o_score", ORDER_KEYS), 0.05, ORDER_KEYS, 7,
+                        ["o_orderpriority", "c_acctbal"])
+    observed, open_rows = profile.split_observed(holed, "o_score")
+    found = similar.top_similar(open_rows, observed, ORDER_KEYS, "o_score", _WIDE, 3)
+    return found.select("o_orderkey", "example_rank", "example_o_orderkey",
+                        F.round("similarity", 9).alias("similarity"))
+
+
 def e3_format_value(spark, sf):
     rows = inject.mcar(lines(spark, sf), 0.1, LINE_KEYS, 42, ["l_quantity", "l_extendedprice"])
     shown = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
@@ -195,8 +214,8 @@ def e17_prompt_only(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    e1_row_similarity, e2_topk_similar, e2_topk_similar_ties, e3_format_value, e4_feature_text,
-    e5_stats_text, e6_build_prompt, e7_training_messages, e8_inference_messages,
+    e1_row_similarity, e2_topk_similar, e2_topk_similar_ties, e2_topk_similar_wide,
+    e3_format_value, e4_feature_text, e5_stats_text, e6_build_prompt, e7_training_messages, e8_inference_messages,
     e9_retry_messages, e10_legacy_messages, e11_record_prompt, e12_matrix_prompt, e12_matrix_prompt_plain,
     e13_training_dataset, e14_sample_records, e15_batch_rows, e16_assistant_target,
     e17_prompt_only)}
@@ -278,14 +297,14 @@ def _scales(numeric: list[str], table: str) -> str:
                      f"AS {c}_scale" for c in numeric)
 
 
-def _top(target: str, features: list[str], numeric: list[str], k: int) -> str:
+def _top(target: str, features: list[str], numeric: list[str], k: int, key: str = "c_custkey") -> str:
     return f"""observed AS (SELECT * FROM holed WHERE {target} IS NOT NULL),
   scales AS (SELECT {_scales(numeric, "observed")}),
-  pairs AS (SELECT q.c_custkey, e.c_custkey AS example_c_custkey,
+  pairs AS (SELECT q.{key}, e.{key} AS example_{key},
     {_similarity(features, numeric)} AS similarity FROM holed q, observed e, scales
     WHERE q.{target} IS NULL),
-  top AS (SELECT *, row_number() OVER (PARTITION BY c_custkey
-    ORDER BY similarity DESC, example_c_custkey)::INTEGER AS example_rank FROM pairs
+  top AS (SELECT *, row_number() OVER (PARTITION BY {key}
+    ORDER BY similarity DESC, example_{key})::INTEGER AS example_rank FROM pairs
     WHERE similarity IS NOT NULL QUALIFY example_rank <= {k})"""
 
 
@@ -331,6 +350,16 @@ SQL = {
   {_TOP_RESULT}""",
     "e2_topk_similar_ties": f"""WITH {_HOLED}, {_top(_TARGET, _FEATURES, ["c_nationkey"], 2)}
   {_TOP_RESULT}""",
+    "e2_topk_similar_wide": f"""WITH scored AS (SELECT o_orderkey, o_totalprice, o_custkey,
+    year(o_orderdate) AS order_year, month(o_orderdate) AS order_month, o_orderstatus,
+    CASE WHEN {sql_unit(7, ORDER_KEYS, "o_orderpriority")} >= 0.05::DOUBLE THEN o_orderpriority END AS o_orderpriority,
+    CASE WHEN {sql_unit(7, ORDER_KEYS, "c_acctbal")} >= 0.05::DOUBLE THEN c_acctbal END AS c_acctbal,
+    c_nationkey, c_mktsegment, o_totalprice * 0.5::DOUBLE + c_acctbal AS score
+    FROM orders JOIN customer ON o_custkey = c_custkey),
+  holed AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {sql_hex(42, ORDER_KEYS, "'o_score'")})
+    > floor(0.02::DOUBLE * count(*) OVER ()) THEN score END AS o_score FROM scored),
+  {_top("o_score", _WIDE, _WIDE_NUMBERS, 3, "o_orderkey")}
+  SELECT o_orderkey, example_rank, example_o_orderkey, round(similarity, 9) AS similarity FROM top""",
     "e3_format_value": f"""SELECT {_LK}, {", ".join(
         f"{_number(f'(CASE WHEN {sql_unit(42, LINE_KEYS, c)} >= 0.1::DOUBLE THEN {c} END)')} "
         f"AS {c}_text" for c in ("l_quantity", "l_extendedprice"))},
