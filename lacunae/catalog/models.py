@@ -62,7 +62,7 @@ def d3_mice_exact(spark, sf):
     """One predictor, so that SQL can run the evidence updates as well."""
     full = lines(spark, sf).select(*LINE_KEYS, "l_extendedprice", "l_charge")
     holed = inject.mcar(full, 0.1, LINE_KEYS, 42, ["l_charge"])
-    return Mice(LINE_KEYS).fit_transform(holed).withColumn("l_charge", F.round("l_charge", 2))
+    return Mice(LINE_KEYS).fit_transform(holed)
 
 
 def d3_mice_facts(spark, sf):
@@ -179,7 +179,7 @@ SQL = {
       SELECT *, greatest(yy - 2 * w2 * xy + w2 * w2 * xx, 0) AS err, np * xx / (wp + np * xx) AS eff FROM (
         SELECT it.*, s.*, xy / (xx + wp / np) AS w2 FROM it, s WHERE NOT stop AND step < 299))))
   , last AS (SELECT xy / (xx + wp / np) AS w, mx, my FROM it, s ORDER BY step DESC LIMIT 1)
-  SELECT {_K}, x AS l_extendedprice, round(CASE WHEN hole THEN my + w * (x - mx) ELSE y END, 2) AS l_charge
+  SELECT {_K}, x AS l_extendedprice, CASE WHEN hole THEN my + w * (x - mx) ELSE y END AS l_charge
   FROM marked, last""",
     "d3_mice_facts": f"WITH {_HOLED_NUMBERS} " + _fact_rows(
         [*_NUMBERS, "l_returnflag"], [*_NUMBERS, "l_returnflag"], ["l_charge", "l_extendedprice"], "holed"),

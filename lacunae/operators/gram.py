@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,3 +83,70 @@ def _by_batch(df, columns, masks) -> list[float]:
     for r in rows:
         flat[r["i"]] = r["v"]
     return flat.tolist()
+
+
+def stacked_grams(df: DataFrame, sets: Sequence[Sequence[str]], mask: str) -> list[Gram]:
+    """A Gram per set of columns (all of one length) over the rows of one mask, in one pass."""
+    sets = [list(x) for x in sets]
+    d = len(sets[0])
+    upper = np.triu_indices(d)
+    wanted = list(dict.fromkeys(c for x in sets for c in x))
+
+    def partial(batches):
+        total = 0.0
+        for pdf in batches:
+            inside = pdf[pdf[mask]]
+            parts = [[len(inside)]]
+            for columns in sets:
+                z = inside[columns].to_numpy(float)
+                parts += [z.sum(axis=0), (z.T @ z)[upper]]
+            total = total + np.concatenate(parts)
+        if not np.isscalar(total):
+            yield pd.DataFrame({"part": [total]})
+
+    pieces = df.select(*wanted, mask).mapInPandas(partial, "part array<double>")
+    rows = pieces.select(F.posexplode("part").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(1 + len(sets) * (d + len(upper[0])))
+    for r in rows:
+        flat[r["i"]] = r["v"]
+    out = []
+    for part in np.split(flat[1:], len(sets)):
+        products = np.zeros((d, d))
+        products[upper] = part[d:]
+        out.append(Gram(int(flat[0]), part[:d], products + np.triu(products, 1).T))
+    return out
+
+
+def pattern_grams(df: DataFrame, columns: Sequence[str], pattern: str) -> Mapping[int, np.ndarray]:
+    """For each value of a whole-number column: the sums of products of (1, columns), in one pass.
+
+    A task keeps a matrix for each value it meets; the caller bounds their number.
+    """
+    columns = list(columns)
+    d = len(columns) + 1
+    upper = np.triu_indices(d)
+
+    def partial(batches):
+        found: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            x = np.column_stack([np.ones(len(pdf)), pdf[columns].to_numpy(float)])
+            key = pdf[pattern].to_numpy(np.int64)
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order])) + 1
+            for rows in np.split(order, cuts) if len(order) else []:
+                z = x[rows]
+                k = int(key[rows[0]])
+                found[k] = found.get(k, 0.0) + (z.T @ z)[upper]
+        if found:
+            yield pd.DataFrame({"pattern": list(found), "part": list(found.values())})
+
+    pieces = df.select(*columns, pattern).mapInPandas(partial, "pattern long, part array<double>")
+    rows = (pieces.select("pattern", F.posexplode("part").alias("i", "v"))
+            .groupBy("pattern", "i").agg(F.sum("v").alias("v"))
+            .groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("cells")).collect())
+    out = {}
+    for r in rows:
+        matrix = np.zeros((d, d))
+        matrix[upper] = [c["v"] for c in r["cells"]]
+        out[r["pattern"]] = matrix + np.triu(matrix, 1).T
+    return out

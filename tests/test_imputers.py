@@ -110,6 +110,32 @@ def test_many_categories_are_joined_with_the_same_result(numbers, monkeypatch):
     assert grown.where("y is null or label is null").count() == 0
 
 
+def test_sums_by_pattern_equal_passes_over_rows(numbers, monkeypatch):
+    """The same fills whether sweeps run on sums per pattern of holes or over the rows."""
+    from lacunae.operators import mice
+
+    holed = inject.mcar(numbers, 0.2, ["k"], 42)
+    by_sums = Mice(["k"]).fit(holed)
+    a = by_sums.transform(holed)
+    monkeypatch.setattr(mice, "MATRIX_CELLS", 0)
+    by_rows = Mice(["k"]).fit(holed)
+    b = by_rows.transform(holed).select("k", *[F.col(c).alias(f"{c}_b") for c in ("x", "hot", "y", "label")])
+    assert len(by_sums.steps) == len(by_rows.steps) > 4
+    worst = a.join(b, "k").agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"{c}_b")) for c in ("x", "hot", "y")])),
+                               F.count_if(F.col("label") != F.col("label_b"))).first()
+    assert worst[0] < 1e-6 and worst[1] == 0
+
+
+def test_posterior_draws_of_many_columns(numbers):
+    """All draws of a regression come from one pass; each scatters and their mean is nearer than one."""
+    holed = inject.mcar(numbers, 0.15, ["k"], 42)
+    one = Mice(["k"], sample_posterior=True, max_iter=3).fit_transform(holed)
+    five = Mice(["k"], sample_posterior=True, n_imputations=5, max_iter=3).fit_transform(holed)
+    nulls = five.select([F.count_if(F.col(c).isNull()).alias(c) for c in five.columns]).first()
+    assert sum(nulls) == 0
+    assert _score(numbers, holed, five)["mean_rmse"] < _score(numbers, holed, one)["mean_rmse"]
+
+
 def test_mice_posterior_mean_is_close_and_seeded(numbers, one_target):
     plain = _score(numbers, one_target, Mice(["k"]).fit_transform(one_target))
     drawn = Mice(["k"], sample_posterior=True, n_imputations=4)
