@@ -5,12 +5,15 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lacunae.session import scratch_path
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,12 +36,33 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a write when it ends: nothing runs on them again."""
+    known = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if known is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, known)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As `stored`, and the shuffle files go with the end of the write."""
+    with shuffles_dropped(df.sparkSession):
+        return stored(df, name)
+
+
 def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """Write to the shared scratch folder in buckets of `key`: joins on it need no shuffle of this side."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = f"scratch_{path.rsplit('-', 1)[-1]}"
-    df.write.bucketBy(shuffle_tasks(spark), key).sortBy(key).option("path", path).saveAsTable(table)
+    with shuffles_dropped(spark):
+        df.write.bucketBy(shuffle_tasks(spark), key).sortBy(key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

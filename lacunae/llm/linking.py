@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, settled
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -30,7 +30,7 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
     """
     links = edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = stored(links, name)
+    links = settled(links, name)
     state = _fingerprint(links)
     while state[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,7 +41,8 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(
             F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.withColumnRenamed("m", "v")).distinct()
-        links = stored(small, name)
+        old, links = links, settled(small, name)
+        discard(old)
         before, state = state, _fingerprint(links)
         if state == before:
             break
@@ -74,21 +75,22 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     `most` values at most, and whose smaller set has `percent` of the larger, are passed on.
     """
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(buckets.distinct().join(sizes, "bucket"), "buckets")
+    members = settled(buckets.distinct().join(sizes, "bucket"), "buckets")
     # The member that shares most places with others is the likeliest centre of a group of copies.
     weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
     leads = members.join(weights, "id").groupBy("bucket").agg(
         F.max_by("id", F.struct("weight", "id")).alias("lead"))
-    members = stored(members.join(leads, "bucket").select("bucket", "id", "lead"), "members")
+    members = settled(members.join(leads, "bucket").select("bucket", "id", "lead"), "members")
     members = members.where("id <> lead")
     pairs = members.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    pairs = stored(pairs.distinct(), "pairs")
-    links = stored(verify(pairs), "links")
+    pairs = settled(pairs.distinct(), "pairs")
+    links = settled(verify(pairs), "links")
     found = components(links)
     # From here on the buckets that share members are one, so that no pair is met once per bucket.
     both = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     members = both.join(components(pairs).withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("component", "id").alias("bucket"))
+    left = None
     while True:
         known = found.select(F.col("node").alias("id"), "component")
         placed = members.join(known, "id", "left").select(
@@ -97,15 +99,17 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
         mixed = parts.groupBy("bucket").agg(
             F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("within"),
             F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-        mixed = stored(mixed.where("parts > 1"), "mixed")
+        mixed = settled(mixed.where("parts > 1"), "mixed")
         cross, rows = mixed.agg(
             F.sum((F.col("rows") * F.col("rows") - F.col("within")) / 2), F.sum("rows")).first()
         if not rows:
             return found
-        left = placed.join(mixed.select("bucket", "main"), "bucket").join(parts, ["bucket", "part"])
+        last_left, left = left, placed.join(mixed.select("bucket", "main"), "bucket").join(parts, ["bucket", "part"])
         if sketches is not None:
             left = left.join(sketches.select("id", "size", *[F.col("sketch")[i].alias(f"s{i}") for i in range(words)]), "id")
-        left = stored(left, "left")
+        left, old = settled(left, "left"), last_left
+        if old is not None:
+            discard(old)
         last = cross <= pairs_per_row * rows
         if last:
             # One end lies outside the main part, so a large part is never paired with itself.
@@ -124,7 +128,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
             meet = meet & (F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent)
             meet = meet & (differing(words) <= most)
         pairs = left.join(side, meet).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
-        links = stored(links.unionByName(verify(pairs.distinct())), "links")
+        links = settled(links.unionByName(verify(pairs.distinct())), "links")
         found = components(links)
         if last:
             return found
