@@ -111,6 +111,24 @@ def d7_denoising_facts(spark, sf):
                   ["l_charge", "l_extendedprice"]).drop("n_outside")
 
 
+def d7_denoising_layers(spark, sf):
+    """On a column that is no linear function of the others, bent layers have less error than one layer."""
+    full = lines(spark, sf).select(*LINE_KEYS, "l_quantity", "l_extendedprice", F.pow(
+        (F.col("l_quantity") - 25.5) / 10, 2).alias("l_bend"))
+    scores = []
+    for layers in (1, 2, 3):
+        staged = evaluate.with_truth(full, ["l_bend"])
+        holed = evaluate.with_holes(inject.mcar(staged, 0.1, LINE_KEYS, 42, ["l_bend"]), ["l_bend"])
+        imputer = DenoisingImputer([*LINE_KEYS, *evaluate.carried(["l_bend"])], layers=layers)
+        pair = evaluate.as_filled(imputer.fit_transform(holed), ["l_bend"])
+        scores.append(evaluate.evaluate_target(pair, "l_bend").select(
+            F.lit(layers).alias("layers"), "n_masked_target", "n_unfilled", "mean_rmse"))
+    one = scores[0].select(F.col("mean_rmse").alias("of_one"))
+    found = reduce(DataFrame.unionByName, scores).join(F.broadcast(one))
+    return found.select("layers", "n_masked_target", "n_unfilled", F.when(
+        F.col("layers") > 1, F.col("mean_rmse") < 0.5 * F.col("of_one")).alias("halves_the_error"))
+
+
 def d10_all_imputers_facts(spark, sf):
     """Every registry key with its own settings."""
     full = _order_sums(spark, sf)
@@ -145,7 +163,7 @@ def g7_cross_validate_facts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     d3_mice_exact, d3_mice_facts, d4_posterior_facts, d4_posterior_spread, d5_forest_facts,
-    d7_denoising_facts, d10_all_imputers_facts, g7_cross_validate_mean, g7_cross_validate_facts)}
+    d7_denoising_facts, d7_denoising_layers, d10_all_imputers_facts, g7_cross_validate_mean, g7_cross_validate_facts)}
 
 _K = ", ".join(LINE_KEYS)
 _MARKED = f"""{LINES}, marked AS (SELECT {_K}, l_extendedprice AS x, l_charge AS y,
@@ -191,6 +209,9 @@ SQL = {
         _SUMS, ["sum_charge"], ["sum_charge"], "holed", ", 0::BIGINT AS n_outside"),
     "d7_denoising_facts": f"WITH {_HOLED_NUMBERS} " + _fact_rows(
         _NUMBERS, _NUMBERS, ["l_charge", "l_extendedprice"], "holed"),
+    "d7_denoising_layers": f"""WITH {LINES} SELECT k AS layers,
+  count(*) FILTER ({sql_unit(42, LINE_KEYS, "l_bend")} < 0.1::DOUBLE) AS n_masked_target, 0::BIGINT AS n_unfilled,
+  CASE WHEN k > 1 THEN TRUE END AS halves_the_error FROM lines, (VALUES (1), (2), (3)) v(k) GROUP BY k""",
     "d10_all_imputers_facts": f"""WITH {_SUM_HOLED} SELECT k AS method_key, count(*) AS n_rows,
   count(*) - count(sum_charge) AS n_holes, 0::BIGINT AS n_unfilled, TRUE AS good
   FROM holed, (VALUES ('dae'), ('meanmode'), ('medianmode'), ('mice'), ('missforest')) v(k) GROUP BY k""",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_unit, row_hex, row_unit
-from .order import number, smallest, with_average_rank
+from ..session import cut_lineage
+from .order import number, smallest, with_rank_in_place
 
 
 def _punch(df: DataFrame, column: str, hole: Column) -> DataFrame:
@@ -65,16 +66,12 @@ def _ranked_holes(
     if k == 0:
         return df
     digits = row_hex(seed, keys, target)
-    staged = df.withColumn("_driver", F.when(candidate, number(driver)))
-    staged = with_average_rank(staged, "_driver", "_w").withColumn("_digits", digits)
-    staged = staged.withColumn("_key", -F.log(hex_unit(F.col("_digits"), 1)) / F.col("_w"))
-    staged = staged.withColumn("_t", hex_unit(F.col("_digits"), 14))
-    draw = staged.select("_key", "_t").persist()
-    try:
-        hole = smallest(draw, ["_key", "_t"], k)
-    finally:
-        draw.unpersist()
-    return _punch(staged, target, hole).select(*df.columns)
+    staged = df.withColumn("_driver", F.when(candidate, number(driver))).withColumn("_digits", digits)
+    ranked = with_rank_in_place(staged, "_driver", "_digits", row["open"], "_w")
+    draw = ranked.withColumn("_key", -F.log(hex_unit(F.col("_digits"), 1)) / F.col("_w"))
+    # Stored in its order once: the passes for the threshold and the result read it.
+    draw = cut_lineage(draw.withColumn("_t", hex_unit(F.col("_digits"), 14)).drop("_driver", "_digits", "_w"))
+    return _punch(draw, target, smallest(draw, ["_key", "_t"], k)).select(*df.columns)
 
 
 def mar(

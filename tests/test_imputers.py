@@ -248,3 +248,15 @@ def test_posterior_draws_need_keys(numbers):
     holed = inject.mcar_column(numbers.select("k", "x", "y"), 0.1, "y", ["k"]).drop("k")
     with pytest.raises(ValueError):
         Mice(sample_posterior=True).fit_transform(holed)
+
+
+def test_bent_layers_learn_what_one_layer_cannot(numbers):
+    rows = numbers.select("k", "x", "hot", (F.col("x") * F.col("x") / 100).alias("y"))
+    holed = inject.mcar_column(rows, 0.2, "y", ["k"])
+    one, two, three = (_score(rows, holed, DenoisingImputer(["k"], layers=n).fit_transform(holed)) for n in (1, 2, 3))
+    assert one["n_unfilled"] == two["n_unfilled"] == three["n_unfilled"] == 0
+    assert two["mean_rmse"] < 0.8 * one["mean_rmse"] and three["mean_rmse"] < 0.8 * one["mean_rmse"]
+    again = DenoisingImputer(["k"], layers=2).fit_transform(holed.repartition(3))
+    assert _score(rows, holed, again)["mean_rmse"] == pytest.approx(two["mean_rmse"], rel=1e-6)
+    with pytest.raises(ValueError):
+        DenoisingImputer(["k"], layers=0)

@@ -79,3 +79,16 @@ def test_running_maximum(numbers):
         rows, [], ["k"], {"m": F.col("v")}, 64, how="max").toPandas().sort_values("k")
     want = got["v"].cummax().ffill()
     np.testing.assert_allclose(got["m"].astype(float), want.astype(float), equal_nan=True)
+
+
+@pytest.mark.parametrize("column", ["x", "hot"])
+@pytest.mark.parametrize("bucket_rows", [10_000, 60])
+def test_ranks_in_place_equal_the_joined_ones(numbers, column, bucket_rows):
+    """One bucket and many, with a value on 40 % of the rows, and nulls."""
+    rows = numbers.select("k", F.when(F.col("k") % 7 > 0, F.col(column)).alias("v"), F.md5(
+        F.col("k").cast("string")).alias("d"))
+    n = rows.where("v is not null").count()
+    got = order.with_rank_in_place(rows, "v", "d", n, bucket_rows=bucket_rows)
+    want = order.with_average_rank(rows, "v", "want")
+    assert got.columns == ["k", "v", "d", "rank"] and got.count() == 2000
+    assert got.join(want.select("k", "want"), "k").where("not (rank <=> want)").count() == 0
