@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hex_unit, row_unit
 from ..operators import evaluate, inject, reports, runs
 from ..plans.benchmark import run_matrix
-from .fixtures import ORDER_KEYS, orders, sql_slice, sql_unit
+from ..session import scratch_path
+from .fixtures import ORDER_KEYS, orders, sql_hex, sql_slice, sql_unit
 
 _DATASETS = {"F": ("orders_f", "Orders F"), "O": ("orders_o", "Orders O"),
              "P": ("orders_p", "Orders P")}
@@ -129,13 +130,16 @@ def i3_preview(spark, sf):
 
 
 def i4_run_matrix(spark, sf):
-    """Two scenarios with three methods, one unknown method, and a scenario that is not there."""
+    """Two scenarios with all five methods, one unknown method, and a scenario that is not there.
+
+    The table is written by a first call with half of the methods and resumed by a second one.
+    """
     manifest = spark.createDataFrame(
         [(f"orders::{f}::{m}", "orders", "Orders", "o_totalprice", f, 10, 42, m)
-         for f in ("MAR_TARGET", "MCAR_TARGET", "MNAR_TARGET") for m in ("meanmode", "medianmode", "mice", "oracle")],
+         for f in ("MAR_TARGET", "MCAR_TARGET", "MNAR_TARGET") for m in ("meanmode", "medianmode", "mice", "missforest", "dae", "oracle")],
         "run_id string, dataset_key string, dataset_name string, target_column string, "
         "scenario_family string, rate_pct int, seed int, method_key string")
-    full = orders(spark, sf)
+    full = orders(spark, sf).select("o_orderkey", "o_custkey", "o_totalprice")
 
     def load(dataset, family, rate):
         if family == "MAR_TARGET":
@@ -146,9 +150,15 @@ def i4_run_matrix(spark, sf):
                 ORDER_KEYS
         return None
 
-    return run_matrix(spark, manifest, load).select(
+    path = scratch_path(spark, "runs")
+    run_matrix(spark, manifest.where("method_key in ('meanmode', 'mice', 'oracle')"), load, path=path)
+    found = run_matrix(spark, manifest, load, path=path)
+    exact = F.col("method_key").isin("meanmode", "medianmode")
+    return found.select(
         "run_id", "dataset_name", "scenario_family", "method_name", "status", "error_message",
-        "n_masked_target")
+        "n_masked_target", F.when(exact, F.round("mean_rmse", 3)).alias("mean_rmse"),
+        F.when(exact, F.round("mean_nrmse", 7)).alias("mean_nrmse"),
+        (F.col("mean_nrmse") < 2).alias("good"))
 
 
 def i5_status_counts(spark, sf):
@@ -364,6 +374,13 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in rows) + ")"
 
 
+_HOLE_DIGITS = sql_hex(42, ORDER_KEYS, "'o_totalprice'")
+_RANKED_HOLES = f"""drawn AS (SELECT o_totalprice AS v, {_HOLE_DIGITS} AS digits, rank() OVER (ORDER BY o_custkey)
+    + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::DOUBLE AS w FROM orders),
+  holes AS (SELECT 'MCAR_TARGET' AS f, v, row_number() OVER (ORDER BY digits)
+    <= floor(0.1::DOUBLE * count(*) OVER ()) AS hole FROM drawn
+    UNION ALL SELECT 'MAR_TARGET', v, row_number() OVER (ORDER BY -ln({sql_slice("digits")}) / w, digits)
+    <= round_even(0.1::DOUBLE * count(*) OVER (), 0) FROM drawn)"""
 _DIGITS = ("md5(concat_ws(':', o_orderkey::VARCHAR, scenario_family, rate_pct::VARCHAR, "
            "method_family, method_key, model_key, seed::VARCHAR))")
 _RUN_SQL = f"""scen AS (SELECT * FROM {_values(_SCENARIOS)} v(scenario_family, rate_pct)),
@@ -475,18 +492,25 @@ SQL = {
   FROM runs WHERE model_name IS NOT NULL GROUP BY ALL
   HAVING count(*) FILTER (status = 'success') = 0""",
     "i3_preview": f"{_W} SELECT run_id, dataset_key, seed FROM runs ORDER BY run_id LIMIT 30",
-    "i4_run_matrix": f"""WITH c AS (SELECT count(*) AS n FROM orders),
+    "i4_run_matrix": f"""WITH {_RANKED_HOLES},
+  scored AS (SELECT f, count(*) FILTER (hole) AS n, avg(v) FILTER (NOT hole) AS meanmode,
+    quantile_cont(v, 0.5) FILTER (NOT hole) AS medianmode, stddev_pop(v) FILTER (hole) AS sd FROM holes GROUP BY f),
+  errors AS (SELECT h.f, sqrt(avg((v - meanmode) ** 2)) AS meanmode, sqrt(avg((v - medianmode) ** 2)) AS medianmode
+    FROM holes h JOIN scored USING (f) WHERE hole GROUP BY h.f),
   f AS (SELECT * FROM (VALUES ('MAR_TARGET'), ('MCAR_TARGET'), ('MNAR_TARGET')) v(f)),
   m AS (SELECT * FROM (VALUES ('meanmode', 'Mean/Mode'), ('medianmode', 'Median/Mode'),
-    ('mice', 'MICE'), ('oracle', 'oracle')) v(m, name))
-  SELECT 'orders::' || f || '::' || m AS run_id, 'Orders' AS dataset_name, f AS scenario_family,
-    name AS method_name, CASE WHEN f = 'MNAR_TARGET' THEN 'missing_file' WHEN m = 'oracle'
+    ('mice', 'MICE'), ('missforest', 'MissForest'), ('dae', 'DAE'), ('oracle', 'oracle')) v(m, name))
+  SELECT 'orders::' || f.f || '::' || m AS run_id, 'Orders' AS dataset_name, f.f AS scenario_family,
+    name AS method_name, CASE WHEN f.f = 'MNAR_TARGET' THEN 'missing_file' WHEN m = 'oracle'
       THEN 'error' ELSE 'success' END AS status,
-    CASE WHEN f = 'MNAR_TARGET' THEN 'Missing scenario: orders/MNAR_TARGET/10'
+    CASE WHEN f.f = 'MNAR_TARGET' THEN 'Missing scenario: orders/MNAR_TARGET/10'
       WHEN m = 'oracle' THEN 'Unknown imputer ''oracle''.' END AS error_message,
-    CASE WHEN f = 'MNAR_TARGET' OR m = 'oracle' THEN NULL WHEN f = 'MAR_TARGET'
-      THEN round_even(0.1::DOUBLE * n, 0) ELSE floor(0.1::DOUBLE * n) END::BIGINT
-      AS n_masked_target FROM c, f, m""",
+    CASE WHEN m <> 'oracle' THEN n END AS n_masked_target,
+    round(CASE m WHEN 'meanmode' THEN errors.meanmode WHEN 'medianmode' THEN errors.medianmode END, 3) AS mean_rmse,
+    round(CASE m WHEN 'meanmode' THEN errors.meanmode WHEN 'medianmode' THEN errors.medianmode END
+      / (sd + 1e-8::DOUBLE), 7) AS mean_nrmse,
+    CASE WHEN m <> 'oracle' AND n IS NOT NULL THEN TRUE END AS good
+  FROM f CROSS JOIN m LEFT JOIN scored ON scored.f = f.f LEFT JOIN errors ON errors.f = f.f""",
     "i5_status_counts": f"{_W} SELECT status, count(*) AS n_runs FROM runs GROUP BY 1",
     "i6_aggregate_runs": f"""{_W} SELECT {_GROUP}, count(run_id) AS n_runs, {_AGGREGATES}
   FROM runs WHERE status = 'success' GROUP BY {_GROUP}""",

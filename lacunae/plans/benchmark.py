@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from .. import schemas
 from ..functions import texts
 from ..operators import evaluate, folds
 from ..operators.registry import IMPUTERS, build_imputer
+from ..operators.runs import resume
+from ..session import scratch_path, scratch_root
+from ..sources.results import RESULT_TABLES, commit_results, read_results, read_runs, write_run
 
 Loader = Callable[[str, str, int], tuple[DataFrame, DataFrame, list[str]] | None]
 
@@ -30,16 +35,23 @@ def run_one(
 def run_matrix(
     spark: SparkSession, manifest: DataFrame, load: Loader, skip_missing: bool = True,
     fail_fast: bool = False, options: Mapping[str, Mapping[str, object]] | None = None,
-    order: Sequence[str] = ("run_id",),
+    order: Sequence[str] = ("run_id",), path: str | None = None, side_by_side: int = 4,
 ) -> DataFrame:
-    """One run row per manifest row.
+    """One run row per manifest row, read back from the run table at `path`.
 
-    The manifest is a short list of experiments, so the loop over it is on the
-    driver; each experiment is a distributed job of its own.
+    The manifest is a short list of experiments and each is a distributed job of its own; `side_by_side` of them
+    run at once, each in its scheduler pool. A finished row is on disk before the next experiment begins, in the
+    partition of its `run_id`, so a table at `path` survives the driver: runs that it has with success are not
+    repeated, others replace their rows. With `fail_fast` the row of the failure is written before it is raised.
     """
     options = options or {}
-    rows = []
-    for setting in manifest.orderBy(*order).toLocalIterator():
+    scratch_root(spark)  # before experiments ask for it at once
+    path = path or scratch_path(spark, "runs")
+    # Only settings come to the driver, not results.
+    todo = resume(manifest, read_runs(spark, path)).orderBy(*order).collect()
+
+    def experiment(setting) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", str(setting["run_id"]))
         started = time.perf_counter()
         row = {name: (setting[name] if name in setting else None)
                for name in schemas.CLASSICAL_RUN.fieldNames()}
@@ -47,29 +59,41 @@ def run_matrix(
         row["method_family"] = "classical"
         row["method_name"] = row["method_name"] or getattr(IMPUTERS.get(method), "name", method)
         place = (setting["dataset_key"], setting["scenario_family"], setting["rate_pct"])
-        tables = load(*place)
-        if tables is None:
-            message = "Missing scenario: " + "/".join(str(p) for p in place)
-            if not skip_missing:
-                raise FileNotFoundError(message)
-            row.update(status="missing_file", error_message=message)
-        else:
-            try:
+        failure: Exception | None = None
+        try:
+            tables = load(*place)
+            if tables is None:
+                message = "Missing scenario: " + "/".join(str(p) for p in place)
+                row.update(status="missing_file", error_message=message)
+                failure = None if skip_missing else FileNotFoundError(message)
+            else:
                 score = run_one(*tables, setting["target_column"], method, setting["seed"],
                                 **options.get(method, {}))
                 row.update(status="success", n_masked_target=score["n_masked_target"],
                            mean_rmse=score["mean_rmse"], mean_nrmse=score["mean_nrmse"])
-            except Exception as problem:
-                if fail_fast:
-                    raise
-                row.update(status="error", error_message=str(problem))
+        except Exception as problem:
+            row.update(status="error", error_message=str(problem))
+            failure = problem if fail_fast else None
         row["run_timestamp_utc"] = datetime.now(UTC).isoformat()
         row["runtime_seconds"] = time.perf_counter() - started
-        rows.append(tuple(row[n] for n in schemas.CLASSICAL_RUN.fieldNames()))
-    return spark.createDataFrame(rows, schemas.CLASSICAL_RUN)
-
-
-def log_result(
+        write_run(spark, row, path)
+        if failure:
+            raise failure
+
+    with ThreadPoolExecutor(max_workers=max(1, side_by_side)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(experiment), setting) for setting in todo]
+        try:
+            for done in as_completed(waiting):
+                done.result()
+        except BaseException:
+            for other in waiting:
+                other.cancel()
+            raise
+    mine = manifest.select(F.col("run_id").alias("_mine")).distinct()
+    return read_runs(spark, path).join(mine, F.col("run_id") == F.col("_mine"), "left_semi")
+
+
+def result_tables(
     pair: DataFrame, keys: Sequence[str], columns: Sequence[str], run: Mapping[str, object],
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(detail rows, RMSE table row, NRMSE table row); no scored cell is an error.
@@ -86,6 +110,24 @@ def log_result(
     return detail, named.drop("mean_nrmse"), named.drop("mean_rmse")
 
 
+def log_result(
+    pair: DataFrame, keys: Sequence[str], columns: Sequence[str], run: Mapping[str, object],
+    root: str | None = None, run_id: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of a run (see `result_tables`), appended under `root` if that is given.
+
+    The same run again replaces its rows and adds nothing. What is returned is then read from disk.
+    """
+    tables = result_tables(pair, keys, columns, run)
+    if root is None:
+        return tables
+    run_id = run_id or "|".join(str(run[f]) for f in (
+        "dataset", "missingness_type", "missing_rate", "imputation_method"))
+    commit_results(dict(zip(RESULT_TABLES, tables)), root, run_id)
+    here = F.col("run_id") == run_id
+    return tuple(read_results(pair.sparkSession, root, name).where(here).drop("run_id") for name in RESULT_TABLES)
+
+
 def cross_validate(
     df: DataFrame, target: str, keys: Sequence[str], method: str = "mice", k: int = 5,
     seed: int = 42, requested_bins: int = 10, **options,

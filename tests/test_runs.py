@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacunae import schemas
-from lacunae.operators import reports, runs
+from lacunae.operators import inject, reports, runs
 from lacunae.plans.benchmark import run_matrix
+from lacunae.sources import results
 
 
 def _run(i, **over):
@@ -149,6 +150,35 @@ def test_matrix_runner(spark, numbers):
         run_matrix(spark, manifest.where("run_id = 'r2'"), load, fail_fast=True)
 
 
+def test_a_stopped_matrix_is_resumed(spark, numbers, tmp_path):
+    """Rows are on disk as experiments end: after a loss only what is missing runs again."""
+    path = str(tmp_path / "runs")
+    manifest = _table(spark, [_run(i, target_column="y", method_key=m, status=None, method_name=None)
+                              for i, m in enumerate(["meanmode", "medianmode", "oracle", "mice"])])
+    loaded, lives = [], [2]
+
+    def load(*place):
+        if not lives[0]:
+            raise KeyboardInterrupt  # the driver goes
+        lives[0] -= 1
+        loaded.append(place)
+        return numbers, inject.mcar_column(numbers, 0.1, "y", ["k"]), ["k"]
+
+    with pytest.raises(KeyboardInterrupt):
+        run_matrix(spark, manifest, load, path=path, side_by_side=1)
+    assert {r.run_id: r.status for r in results.read_runs(spark, path).collect()} == {"r0": "success", "r1": "success"}
+    lives[0] = 99
+    out = {r.run_id: r for r in run_matrix(spark, manifest, load, path=path).collect()}
+    assert [out[f"r{i}"].status for i in range(4)] == ["success", "success", "error", "success"]
+    assert len(loaded) == 4 and out["r3"].mean_rmse < out["r0"].mean_rmse
+    # The failed one is tried again and replaces its row; the others are left alone.
+    with pytest.raises(ValueError):
+        run_matrix(spark, manifest, load, path=path, fail_fast=True)
+    assert len(loaded) == 5 and results.read_runs(spark, path).count() == 4
+    board = reports.leaderboard(results.read_runs(spark, path).where("status = 'success'")).collect()
+    assert {r["row_key"] for r in board} >= {"mice", "meanmode", "medianmode"}
+
+
 def test_reports(spark):
     table = _table(spark, [
         _run(1, dataset_name="Telco", mean_nrmse=0.4),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lacunae.operators import evaluate
 from lacunae.operators.fallback import domain_fallback
 from lacunae.plans.benchmark import log_result
+from lacunae.sources import results
 
 
 @pytest.fixture
@@ -55,6 +56,22 @@ def test_detail_and_log(pair):
         log_result(pair, ["k"], ["b"], run)
 
 
+def test_logged_results_are_read_back(spark, pair, tmp_path):
+    root = str(tmp_path)
+    run = {"dataset": "d", "missingness_type": "MAR", "missing_rate": "10", "imputation_method": "mean"}
+    for _ in range(2):  # the second call replaces the first
+        detail, rmse, nrmse = log_result(pair, ["k"], ["a", "b"], run, root)
+    assert detail.count() == 3 and rmse.count() == nrmse.count() == 1
+    log_result(pair, ["k"], ["a", "b"], {**run, "imputation_method": "median"}, root)
+    assert results.read_results(spark, root, "detail").count() == 6
+    assert {r.run_id for r in results.read_results(spark, root, "rmse").collect()} == {"d|MAR|10|mean", "d|MAR|10|median"}
+    # A call that is cut off before the end leaves nothing that readers see.
+    broken = {"detail": rmse, "rmse": rmse.select(F.raise_error(F.lit("lost")).alias("mean_rmse"))}
+    with pytest.raises(Exception, match="lost"):
+        results.commit_results(broken, root, "half")
+    assert results.read_results(spark, root, "detail").where("run_id = 'half'").count() == 0
+
+
 @pytest.fixture
 def detail(spark):
     return spark.createDataFrame(
