@@ -93,7 +93,7 @@ def h10_log_result(spark, sf):
     root, keys = scratch_path(spark, "results"), list(_RUN)
     for _ in range(2):
         log_result(_pair(spark, sf), ORDER_KEYS, _COLUMNS, _RUN, root)
-    detail, rmse, nrmse = (read_results(spark, root, name) for name in RESULT_TABLES)
+    detail, rmse, nrmse = (read_results(spark, root, name).drop("run_id") for name in RESULT_TABLES)
     n = detail.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_detail_rows"))
     return _rounded(rmse.join(nrmse, keys).join(n, keys))
 
