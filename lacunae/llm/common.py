@@ -62,7 +62,8 @@ def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
     path = scratch_path(spark, name)
     table = f"scratch_{path.rsplit('-', 1)[-1]}"
     with shuffles_dropped(spark):
-        df.write.bucketBy(shuffle_tasks(spark), key).sortBy(key).option("path", path).saveAsTable(table)
+        df.write.bucketBy(shuffle_tasks(spark), key).sortBy(key).option("path", path).option(
+            "compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 
