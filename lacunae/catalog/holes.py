@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import inject
 from ..operators.order import with_average_rank
-from ..plans.scenarios import ScenarioSpec, generate_scenarios
+from ..plans.scenarios import ScenarioSpec, scenario_rows
 from .fixtures import (
     LINE_KEYS, LINES, ORDER_KEYS, lines, orders, sql_hex, sql_holed_orders, sql_keep, sql_slice)
 
@@ -48,15 +45,12 @@ _SPEC = ScenarioSpec("orders", "Orders", "o_totalprice", "o_custkey", ("o_orderk
 
 
 def c6_generate_scenarios(spark, sf):
+    """All eight scenarios from one scan of the staged rows."""
     hole = F.col("o_totalprice").isNull()
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(hole).alias("n_holes"),
-               F.sum(F.when(hole, F.col("o_orderkey"))).alias("hole_keys"),
-               F.count_if(F.col("o_orderpriority").isNull()).alias("other_holes"))
-        .select(F.lit(family).alias("scenario_family"),
-                F.lit(int(round(rate * 100))).alias("rate_pct"), "*")
-        for family, rate, df in generate_scenarios(orders(spark, sf), _SPEC)]
-    return reduce(DataFrame.unionByName, parts)
+    return scenario_rows(orders(spark, sf), _SPEC).groupBy("scenario_family", "rate_pct").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(hole).alias("n_holes"),
+        F.sum(F.when(hole, F.col("o_orderkey"))).alias("hole_keys"),
+        F.count_if(F.col("o_orderpriority").isNull()).alias("other_holes"))
 
 
 def c7_average_rank(spark, sf):

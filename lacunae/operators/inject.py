@@ -53,24 +53,39 @@ def mcar_column(
     return _punch(staged, column, hole).select(*df.columns)
 
 
-def _ranked_holes(
-    df: DataFrame, driver: str, target: str, fraction: float, keys: Sequence[str], seed: int
+def with_ranked_draw(
+    df: DataFrame, driver: str, target: str, keys: Sequence[str], seed: int, n_open: int, name: str
 ) -> DataFrame:
-    """Holes drawn one after another with probability proportional to the driver's mid-rank.
+    """Add the number by which holes are drawn one after another, with probability proportional to the driver's mid-rank.
 
-    The k smallest of -ln(u)/weight are such a draw (Efraimidis and Spirakis 2006).
+    The k smallest of -ln(u)/weight are such a draw (Efraimidis and Spirakis 2006). Null where there is nothing to draw;
+    `n_open` is the number of rows where `open_cell` holds.
     """
-    candidate = F.col(target).isNotNull() & number(driver).isNotNull()
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(candidate).alias("open")).first()
+    staged = df.withColumn("_driver", F.when(open_cell(driver, target), number(driver))).withColumn(
+        "_digits", row_hex(seed, keys, target))
+    ranked = with_rank_in_place(staged, "_driver", "_digits", n_open, "_w")
+    draw = -F.log(hex_unit(F.col("_digits"), 1)) / F.col("_w")
+    return ranked.select(*df.columns, draw.alias(name))
+
+
+def open_cell(driver: str, target: str) -> Column:
+    return F.col(target).isNotNull() & number(driver).isNotNull()
+
+
+def tie_breaker(target: str, keys: Sequence[str], seed: int) -> Column:
+    return hex_unit(row_hex(seed, keys, target), 14)
+
+
+def _ranked_holes(
+    df: DataFrame, driver: str, target: str, fraction: float, keys: Sequence[str], seed: int
+) -> DataFrame:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(open_cell(driver, target)).alias("open")).first()
     k = min(int(round(fraction * row["n"])), row["open"])
     if k == 0:
         return df
-    digits = row_hex(seed, keys, target)
-    staged = df.withColumn("_driver", F.when(candidate, number(driver))).withColumn("_digits", digits)
-    ranked = with_rank_in_place(staged, "_driver", "_digits", row["open"], "_w")
-    draw = ranked.withColumn("_key", -F.log(hex_unit(F.col("_digits"), 1)) / F.col("_w"))
+    draw = with_ranked_draw(df, driver, target, keys, seed, row["open"], "_key")
     # Stored in its order once: the passes for the threshold and the result read it.
-    draw = cut_lineage(draw.withColumn("_t", hex_unit(F.col("_digits"), 14)).drop("_driver", "_digits", "_w"))
+    draw = cut_lineage(draw.withColumn("_t", tie_breaker(target, keys, seed)))
     return _punch(draw, target, smallest(draw, ["_key", "_t"], k)).select(*df.columns)
 
 

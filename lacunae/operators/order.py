@@ -220,6 +220,30 @@ def smallest(
         F.lit(False))
 
 
+def smallest_of_many(df: DataFrame, wanted: Mapping[str, Sequence[int]], tie: str) -> dict[tuple[str, int], Column]:
+    """As `smallest` for several columns and sizes at once: (column, k) to a predicate. All share their passes."""
+    ranges = column_ranges(df, list(wanted))
+    inside = {c: [k - 1 for k in ks if 0 < k < ranges[c][0]] for c, ks in wanted.items()}
+    picks = pick_ranks(df, {c: ranks for c, ranks in inside.items() if ranks}, ranges) if any(inside.values()) else {}
+    out = {}
+    for c, ks in wanted.items():
+        value = F.col(c).cast("double")
+        for k in ks:
+            if k <= 0:
+                out[c, k] = F.lit(False)
+            elif k >= ranges[c][0]:
+                out[c, k] = F.col(c).isNotNull()
+            else:
+                cut = picks[c][k - 1]
+                hole = value <= F.lit(cut.value)
+                if k < cut.below + cut.equal:
+                    tied = df.where(value == F.lit(cut.value))
+                    hole = (value < F.lit(cut.value)) | (
+                        (value == F.lit(cut.value)) & smallest(tied, [tie], k - cut.below))
+                out[c, k] = F.coalesce(hole, F.lit(False))
+    return out
+
+
 def order_buckets(df: DataFrame, by: Sequence[str], n: int, bucket_rows: int) -> DataFrame:
     """Add `_b`: bucket numbers that ascend with the order of `by`.
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lacunae.operators import inject, prompts, telemetry
 from lacunae.plans.prompting import evaluate_answers, training_dataset
-from lacunae.plans.scenarios import ScenarioSpec, write_scenarios
+from lacunae.plans.scenarios import ScenarioSpec, scenario_rows, write_scenarios
 from lacunae.sources import results, tables
 
 
@@ -43,6 +43,26 @@ def test_scenarios_on_disk(spark, numbers, tmp_path):
         spec.holed(numbers, "ALL", 0.1, 42)
 
 
+def test_scenarios_of_one_scan_have_the_holes_of_each(spark, numbers):
+    spec = ScenarioSpec("n", "N", "y", "x", ("k",), ("label",))
+    rows = numbers.withColumn("y", F.when(F.col("k") % 11 > 0, F.col("y"))).withColumn(
+        "x", F.when(F.col("k") % 13 > 0, F.col("x")))
+    all_ = scenario_rows(rows, spec, rates=(0.1, 0.25))
+    # The stored rows are read once, whatever the number of scenarios.
+    assert all_._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert all_.count() == 8 * 2000
+    for family in ("MAR_TARGET", "MNAR_TARGET", "MCAR_TARGET", "MCAR_GLOBAL"):
+        for rate in (0.1, 0.25):
+            here = all_.where((F.col("scenario_family") == family) & (F.col("rate_pct") == round(rate * 100)))
+            want = spec.holed(rows, family, rate, 42)
+            assert here.select(*rows.columns).exceptAll(want).count() == 0
+    assert scenario_rows(rows, spec, (0.0,), families=["MAR_TARGET"]).exceptAll(
+        rows.select("*", F.lit("MAR_TARGET"), F.lit(0))).count() == 0
+    for wrong in (ScenarioSpec("n", "N", "y", "y", ("k",)), ScenarioSpec("n", "N", "none", "x", ("k",))):
+        with pytest.raises(ValueError):
+            scenario_rows(rows.withColumn("none", F.lit(None).cast("double")), wrong)
+
+
 def test_discovery(spark, tmp_path):
     for m in ("MAR", "MNAR", "OTHER"):
         (tmp_path / m).mkdir()
