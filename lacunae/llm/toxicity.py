@@ -148,8 +148,9 @@ def train(toxic: list[str], ordinary: list[str], toxic_share: float, contrast: f
     half_t, half_o = len(toxic) // 2, len(ordinary) // 2
     if not half_t or not half_o:
         return nothing if not toxic or ordinary else Model(b"", b"", np.empty(0), np.empty(0), np.empty(0), 1.0)
-    first = [windows(t) for t in toxic[:half_t]]
-    plain = [windows(t) for t in ordinary[:half_o]]
+    same: dict[bytes, bytes] = {}  # one object per distinct window: the driver holds the words of a sample
+    first = [[same.setdefault(w, w) for w in windows(t)] for t in toxic[:half_t]]
+    plain = [[same.setdefault(w, w) for w in windows(t)] for t in ordinary[:half_o]]
     in_toxic = Counter(w for parts in first for w in set(parts))
     in_plain = Counter(w for parts in plain for w in set(parts))
     least = min(least_documents, half_t // 100 + 3)
