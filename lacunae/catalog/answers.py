@@ -244,11 +244,39 @@ def f11_impute_by_matrix_folds(spark, sf):
     return detail.select("c_custkey", "fold_id", "prediction", "source")
 
 
+def _complete_narrow_table(prompts: list) -> list:
+    """Stand-in for a model that sees two columns: 100 * nation in each hole, and no use of nation 7 or of segments."""
+    out = []
+    for p in prompts:
+        text = p.split("Matrix:\n    ")[1].split("\n\n    Output Format")[0]
+        head, *rows = text.split("\n")
+        cells = [r.split()[1:] for r in rows]
+        if "c_acctbal" not in head:
+            out.append("\n".join([",".join(head.split()), *[",".join(c) for c in cells]]))
+            continue
+        body = [",".join([n, "?" if b == "NaN" and n == "7" else str(int(n) * 100) if b == "NaN" else b]) for n, b in cells]
+        out.append("\n".join([",".join(head.split()), *body]))
+    return out
+
+
+def f11_impute_by_matrix_blocks(spark, sf):
+    """Blocks of two columns; a row that is never answered halves its blocks down to itself and leaves its notes."""
+    detail, _ = impute_by_matrix(
+        customers(spark, sf), _open_customers(spark, sf), CUSTOMER_KEYS, "c_acctbal",
+        ["c_nationkey", "c_acctbal", "c_mktsegment", "c_custkey"], _complete_narrow_table, "Customer", batch_row=4,
+        batch_col=2)
+    notes = F.split("notes", r" \| ")
+    return detail.select(
+        "c_custkey", "source", "error", F.get(notes, 0).alias("first_note"),
+        F.when(F.col("error").isNotNull(), F.get(notes, 1)).alias("second_note"),
+        F.when(F.col("source") == "paper_prompt", F.col("prediction")).alias("prediction"))
+
+
 QUERIES = {f.__name__: f for f in (
     f1_first_number, f1_first_number_documents, f2_numeric_value, f3_parse_matrix,
     f4_align_matrix, f5_recover_partial_rows, f6_resolve_answers, f7_split_failed_batches,
     f8_write_back, f8_added_nulls, f9_summarise_notes, f10_score_with_model,
-    f11_impute_by_matrix, f11_impute_by_matrix_folds, h11_evaluate_answers,
+    f11_impute_by_matrix, f11_impute_by_matrix_folds, f11_impute_by_matrix_blocks, h11_evaluate_answers,
     h11_evaluate_answers_fewshot)}
 
 
@@ -379,6 +407,16 @@ SQL = {
   SELECT c_custkey, ntile(2) OVER (ORDER BY c_custkey)::INTEGER AS fold_id,
     (c_nationkey * 100)::DOUBLE AS prediction, 'paper_prompt_fold' AS source
   FROM holed WHERE c_acctbal IS NULL""",
+    "f11_impute_by_matrix_blocks": f"""WITH {_OPEN}, p AS (SELECT *, row_number() OVER (ORDER BY c_custkey)
+    - 1 AS position, count(*) OVER () AS n FROM holed),
+  b AS (SELECT *, position // 4 * 4 AS low, least(position // 4 * 4 + 4, n) AS high,
+    count(*) FILTER (c_acctbal IS NULL AND c_nationkey = 7) OVER (PARTITION BY position // 4) AS n_open FROM p)
+  SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN 'fallback_median' ELSE 'paper_prompt' END AS source,
+    CASE WHEN c_nationkey = 7 THEN 'r' || position || '-' || position + 1 || ':target_open(1)' END AS error,
+    'column_blocks(2/4)' AS first_note, CASE WHEN c_nationkey = 7 THEN 'r' || low || '-' || high || ':target_open('
+      || n_open || ')' END AS second_note,
+    CASE WHEN c_nationkey <> 7 THEN (c_nationkey * 100)::DOUBLE END AS prediction
+  FROM b WHERE c_acctbal IS NULL""",
     "h11_evaluate_answers": f"WITH {_ECHO} SELECT * FROM told",
     "h11_evaluate_answers_fewshot": f"""WITH {_ECHO}, m AS (SELECT count(*) AS n,
     sqrt(avg((ground_truth - prediction) ** 2)) AS r, stddev_pop(ground_truth) AS d,

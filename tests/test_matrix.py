@@ -34,9 +34,9 @@ def test_errors(spark):
     assert _parse(spark, "")[1] == "empty answer, expected 2 x 2 cells"
     assert _parse(spark, None)[1].startswith("empty answer")
     assert "single column" in _parse(spark, "a\n1\n2")[1]
-    assert "Could not align output columns. Expected 2 cols, got 4." == _parse(
+    assert "The table does not fit 2 columns: it has 4" == _parse(
         spark, "w,x,y,z\n1,2,3,4\n5,6,7,8")[1]
-    assert "fewer rows than expected (1 < 3)" in _parse(spark, "a,b\n1,x", 2 + 1)[1] or \
+    assert "too short, rows: 2 of 3" in _parse(spark, "a,b\n1,x", 2 + 1)[1] or \
         "(2 < 3)" in _parse(spark, "a,b\n1,x", 3)[1]
 
 
@@ -140,3 +140,31 @@ def test_all_rows_by_default_and_first_answers_are_no_fallback(numbers):
     detail, summary = impute_by_matrix(full, holed, ["k"], "y", ["k", "y"], _fills(2), "Demo", batch_row=16)
     assert detail.count() == holed.where("y is null").count()
     assert summary.first()["fallback_rate"] == 0.0
+
+
+def test_column_blocks_and_their_notes(numbers):
+    """Blocks of two columns; one row is never answered and halves its blocks down to itself."""
+    full = numbers.where("k < 40").select("k", "y", "x")
+    holed = inject.mcar_column(full, 0.25, "y", ["k"])
+    never = holed.where("y is null").agg({"k": "min"}).first()[0]
+
+    def scorer(prompts):
+        out = []
+        for p in prompts:
+            head, *rows = p.split("Matrix:\n    ")[1].split("\n\n    Output Format")[0].split("\n")
+            cells = [r.split()[1:] for r in rows]
+            if "y" in head.split():
+                cells = [[k, ("?" if int(k) == never else str(int(k) / 10)) if y == "NaN" else y] for k, y in cells]
+            out.append("\n".join([",".join(head.split()), *[",".join(c) for c in cells]]))
+        return out
+
+    detail, _ = impute_by_matrix(full, holed, ["k"], "y", ["k", "y", "x"], scorer, "Demo", batch_row=16, batch_col=2)
+    rows = {r["k"]: r for r in detail.collect()}
+    assert len(rows) == holed.where("y is null").count()
+    assert all(r["prediction"] == pytest.approx(k / 10) and r["error"] is None for k, r in rows.items() if k != never)
+    lost = rows[never]
+    assert lost["source"] != "paper_prompt" and lost["error"] == f"r{never}-{never + 1}:target_open(1)"
+    assert lost["notes"].startswith("column_blocks(2/3) | r0-16:target_open(1)") and "half(" in lost["notes"]
+    assert all(r["notes"] == "column_blocks(2/3)" for k, r in rows.items() if k >= 16)
+    with pytest.raises(ValueError):
+        impute_by_matrix(full, holed, ["k"], "y", ["k", "y"], scorer, "Demo", batch_col=0)
