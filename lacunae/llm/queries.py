@@ -91,7 +91,40 @@ QUERIES = {f.__name__: f for f in (
     op6_token_counts, op7_suffix_dedup, op8_line_dedup, op9_near_dedup, op10_html_extraction,
     op11_filter_audit, op12_order_packing, op13_collocations)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL: dict[str, str] = {
+    "op5_decontamination": rf"""WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER},
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  sized AS (SELECT item_id, w, least(len(w), 10) AS m FROM items WHERE len(w) > 0),
+  wanted AS (SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(w) - m + 2),
+    lambda i: array_to_string(w[i:i + m - 1], ' '))) AS gram FROM sized),
+  placed AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM docs, (SELECT DISTINCT m FROM wanted) WHERE len(w) >= m),
+  found AS (SELECT doc_id, item_id, i, p.m FROM (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS gram
+    FROM placed) p JOIN wanted USING (m, gram)),
+  hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
+    SELECT doc_id, unnest(range(i, i + m)) AS place FROM found) GROUP BY 1),
+  named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY 1)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op9_near_dedup": rf"""WITH RECURSIVE worded AS (SELECT doc_id,
+    list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  sets AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM worded),
+  sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id
+    GROUP BY 1, 2),
+  links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach(doc_id, other) AS (SELECT a, b FROM ways UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = other)
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, m) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+  FROM worded LEFT JOIN sizes USING (doc_id)
+  LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)""",
     "op11_filter_audit": r"""WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
   firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
   worded AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
