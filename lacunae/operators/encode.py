@@ -7,17 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .order import salted_join
 
 MAP_LIMIT = 2_000
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): codes follow the sorted order of the distinct non-null values."""
-    values = (df.select(F.col(column).alias("value")).where(F.col(column).isNotNull())
-              .distinct().orderBy("value"))
-    indexed = values.rdd.zipWithIndex().map(lambda pair: (pair[0]["value"], float(pair[1])))
-    return df.sparkSession.createDataFrame(indexed, "value string, code double")
+    """(value, code): codes follow the sorted order of the distinct non-null values.
+
+    Values are dealt by ranges and sorted there; the code is the place in the range plus the sizes of those before.
+    Ties cannot be hot, because every value is there once.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
+    # The number of a row: its range in the upper bits, its place there in the lower 33.
+    ranged = cut_lineage(values.repartitionByRange(parts, "value").sortWithinPartitions("value").select(
+        "value", F.monotonically_increasing_id().alias("_row")))
+    part = F.shiftright("_row", 33)
+    sizes = sorted(ranged.groupBy(part.alias("part")).count().collect())  # one row per range
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["part"], before))
+        before += r["count"]
+    table = F.broadcast(spark.createDataFrame(starts, "_part long, _before long"))
+    place = F.col("_row") - F.shiftleft(F.col("_part"), 33)
+    return ranged.withColumn("_part", part).join(table, "_part").select(
+        "value", (F.col("_before") + place).cast("double").alias("code"))
 
 
 def category_lists(

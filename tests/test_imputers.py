@@ -260,3 +260,19 @@ def test_bent_layers_learn_what_one_layer_cannot(numbers):
     assert _score(rows, holed, again)["mean_rmse"] == pytest.approx(two["mean_rmse"], rel=1e-6)
     with pytest.raises(ValueError):
         DenoisingImputer(["k"], layers=0)
+
+
+def test_codes_follow_the_sorted_order(spark):
+    """Ranges and places number all values, one on half of the rows included, without gaps."""
+    from lacunae.operators import encode
+
+    df = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 7 > 0, F.concat(
+        F.lit("é"), F.col("id") % 2500)).alias("v"))
+    codes = encode.category_codes(df, "v")
+    got = [r["value"] for r in codes.orderBy("code").collect()]
+    assert got == sorted(got, key=lambda x: x.encode()) and len(got) == df.select("v").dropna().distinct().count()
+    assert sorted(r["code"] for r in codes.collect()) == list(map(float, range(len(got))))
+    coded = encode.encode_by_join(df, "v", codes, "c")
+    assert coded.where("v is null").where("c is not null").count() == 0
+    assert coded.where("v = 'hot'").select("c").distinct().count() == 1
+    assert encode.category_codes(df.where("false"), "v").count() == 0
