@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lacunae.operators import evaluate, inject
 from lacunae.operators.forest import MissForest
-from lacunae.operators.trees import Growth, draws, grow, n_picked, predicted, quantile_cuts
+from lacunae.operators.trees import Growth, _deals, _tops, draws, grow, n_picked, predicted, quantile_cuts
 
 
 def naive(codes, w, y, n_classes, max_depth, min_leaf, depth=0):
@@ -118,3 +118,14 @@ def test_few_rows_and_wrong_settings(spark):
     assert out[1] == (1.0, 2.0) and out[2][0] == 3.0 and out[2][1] is not None and out[3][0] is not None
     with pytest.raises(ValueError):
         MissForest(["k"], max_bins=1000)
+
+
+def test_rows_are_sent_once_per_top_not_per_tree(spark):
+    df = _stage(spark.range(4000).select(
+        F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("a"), F.col("id").cast("double").alias("y")))
+    cuts = quantile_cuts(df, ["a"], 256)
+    tops = _tops(df, ["a"], "y", "row", cuts, 0, 4000, Growth(40, 1, "sqrt", 30, 1, 500, 2000))
+    deals = _deals(tops, 40, 2)
+    assert len(tops) == 4 and len(deals) == 4
+    assert sorted(t for _, trees in deals for t in trees) == list(range(40))
+    assert [len(trees) for _, trees in _deals(tops[:1], 40, 1000)] == [1] * 40
