@@ -276,3 +276,12 @@ def test_codes_follow_the_sorted_order(spark):
     assert coded.where("v is null").where("c is not null").count() == 0
     assert coded.where("v = 'hot'").select("c").distinct().count() == 1
     assert encode.category_codes(df.where("false"), "v").count() == 0
+
+
+def test_facts_read_a_kept_table(numbers):
+    """The holes are drawn once, not again in each pass of an imputer."""
+    from lacunae.catalog.models import _facts
+    found = _facts(numbers.select("k", "y"), ["k"], ["y"], MeanMode, ["y"], [])
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    row = found.first()
+    assert (row["n_rows"], row["n_changed"], row["n_unfilled"]) == (2000, 0, 0) and row["n_holes"] > 0
