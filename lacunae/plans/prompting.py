@@ -95,11 +95,12 @@ def evaluate_answers(
 
 
 def _ask_blocks(rows: DataFrame, dataset: str, columns: list[str], scorer: Scorer, retry: bool):
-    """Prompt per block, answer, parsed and aligned table."""
+    """Prompt per block, answer, parsed and aligned table; kept, so that nothing is asked or read twice."""
     asked = prompts.matrix_prompts(rows, dataset, columns, ["row_start"], "position", retry)
-    told = cut_lineage(answers.score_with_model(asked, scorer, "prompt", "response").drop("prompt"))
+    told = answers.score_with_model(asked, scorer, "prompt", "response").drop("prompt")
     parsed = matrix.parse_matrix_responses(told, len(columns))
-    return matrix.align_matrix(parsed, columns, recover=True)
+    return cut_lineage(matrix.align_matrix(parsed, columns, recover=True).select(
+        "row_start", "aligned", "align_error", "recovery_note"))
 
 
 def _fill_columns(active: DataFrame, block: list[str], first_col: int, target: str, settings: dict) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,6 @@
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +151,34 @@ def test_notes(spark):
         [(["a", "", "b", "a", None, "c", "d"],), ([],), (["x"],)], "n array<string>")
     got = [r[0] for r in df.select(answers.summarise_notes(F.col("n"), 3)).collect()]
     assert got == ["a | b | c | ... (+1 more)", None, "x"]
+
+
+def layout(columns):
+    def render(pdf):
+        block = pdf.sort_values("position")[columns].reset_index(drop=True)
+        return pd.DataFrame({"batch_id": pdf["batch_id"].head(1), "text": block.to_string()})
+    return render
+
+
+def test_matrix_text_is_that_of_pandas(spark):
+    """Random blocks of all kinds of columns, the pandas layout per batch as the measure."""
+    rng = random.Random(5)
+    floats = [None, 0.0, -0.0, 1.0, -2.5, 711.56, 1 / 3, 123456.789, 999999.5, 1e6, 1.5e6, 3e9, 1e-5, 1e-7, float("nan"), float("inf")]
+    words = [None, "", "a", "BUILDING", "NaN", "é ü", "a b ", "line\nfeed", "日本", "0x1", 'q"q']
+    rows = []
+    for batch in range(400):
+        some = rng.sample(floats, rng.choice([1, 2, 3, len(floats)]))
+        ints = rng.choice([[1, 20, -300], [None, 5], [None], [10**12, 7]])
+        rows += [(batch, at, rng.choice(ints), rng.choice(some), rng.choice(words)) for at in range(rng.randrange(1, 13))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "batch_id long, position long, a long, bb double, long_name string")
+    for columns in (["a", "bb", "long_name"], ["long_name"], ["bb"], ["a"]):
+        expected = dict(df.groupBy("batch_id").applyInPandas(
+            layout(columns), "batch_id long, text string").collect())
+        asked = prompts.matrix_prompts(df, "Demo", columns)
+        assert "FlatMapGroupsInPandas" not in asked._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.batch_id: r for r in asked.collect()}
+        assert got.keys() == expected.keys()
+        for batch, text in expected.items():
+            assert f"Matrix:\n    {text}\n\n    Output Format" in got[batch].prompt
+            assert got[batch].n_rows == sum(r[0] == batch for r in rows)
